@@ -90,13 +90,14 @@ select p_partkey*3+k as line_no, 'C' || lpad(cast(p_partkey as varchar(20)),7,'0
 """
 
 VIEWS["f_sty"] = """
-select 'C' || lpad(cast(p_partkey as varchar(20)),7,'0') as cui, 'T' || lpad(cast(p_size as varchar(20)),3,'0') as tui from {t:part}
- union all select 'C' || lpad(cast(p_partkey as varchar(20)),7,'0'), 'T' || lpad(cast((p_size*7) % 50 + 1 as varchar(20)),3,'0') from {t:part} where p_partkey % 4=0
+select p_partkey*2 as line_no, 'C' || lpad(cast(p_partkey as varchar(20)),7,'0') as cui, 'T' || lpad(cast(p_size as varchar(20)),3,'0') as tui from {t:part}
+ union all select p_partkey*2+1, 'C' || lpad(cast(p_partkey as varchar(20)),7,'0'), 'T' || lpad(cast((p_size*7) % 50 + 1 as varchar(20)),3,'0') from {t:part} where p_partkey % 4=0
 """
 
 # Semantic groups (SemGroups stand-in): group = first digit of the tui number.
 VIEWS["f_semgroup"] = """
-select distinct tui, 'G' || substr(tui,2,1) as tuigroup, 'Group ' || substr(tui,2,1) as tuigrouplabel from f_sty
+select distinct tui, 'G' || substr(cast(cast(substr(tui,2) as int) as varchar(10)),1,1) as tuigroup,
+ 'Group ' || substr(cast(cast(substr(tui,2) as int) as varchar(10)),1,1) as tuigrouplabel from f_sty
 """
 
 # F4 notes with known context
