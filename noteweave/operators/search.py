@@ -319,7 +319,7 @@ def date_filter(start: str, end: str, today: date | None = None) -> Column | Non
         s = "19900101"
     if not (s and e):
         return None
-    d = F.try_to_date(F.col("contentdate"), F.lit("yyyyMMdd"))
+    d = F.try_to_date(F.col("contentdate"), "yyyyMMdd")
     return d.between(F.to_date(F.lit(s), "yyyyMMdd"), F.to_date(F.lit(e), "yyyyMMdd"))
 
 
