@@ -60,6 +60,18 @@ union all select 'brands', 100000 + p_partkey, 'size ' || cast(p_size as varchar
  from {t:part} where p_partkey % 10 = 0
 """
 
+# F6 reviewed rows (A12 shape); row_no keeps file order
+VIEWS["f_reviewed"] = """
+select l_orderkey as doc_id,
+ l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_shipdate) as row_no,
+ cast(l_linenumber*12 as int) as start_pos, cast(l_linenumber*12+length(p_name) as int) as end_pos,
+ p_name as string_orig, 'C' || lpad(cast(l_partkey as varchar(20)),7,'0') as cui, p_type as label,
+ case when l_discount < 0.05 then 'Yes' else 'No' end as correct,
+ case when l_returnflag = 'R' then 'Negated' else 'NOT Negated' end as negation,
+ case when l_orderkey % 8 = 0 then 'Yes' else 'No' end as skip_document
+ from {t:lineitem} join {t:part} on l_partkey = p_partkey
+"""
+
 # F2 tagged reports with injected identifiers
 VIEWS["f_report"] = """
 select o_orderkey as doc_id,
