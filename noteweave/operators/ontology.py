@@ -163,6 +163,18 @@ def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame
     return out
 
 
+def multi_source_closure(starts: DataFrame, edges: DataFrame, key: str = "name",
+                         max_depth: int = 50) -> DataFrame:
+    """K3: per key, everything reachable from any of its start CUIs (starts included).
+
+    Runs the multi-root walk with each seed as a root under its key, then
+    keeps the distinct (key, cui) pairs.
+    """
+    roots = starts.select(F.col(key).alias(key), F.col("cui").alias("root")).dropDuplicates([key, "root"])
+    c = closure_for_roots(roots, edges, None, root_keys=[key], max_depth=max_depth)
+    return c.select(key, "cui").distinct()
+
+
 def narrower_closure(edges: DataFrame, roots: DataFrame, depth: int = 999,
                      prune: Sequence[str] = (), same_group: bool = False,
                      cui_groups: DataFrame | None = None) -> DataFrame:

@@ -160,3 +160,11 @@ def closure_sizes(spark, sf_dir):
     e = _edges(spark, sf_dir)
     s = ontology.expansion_sizes(e, _roots(e), _cui_tab(spark, sf_dir))
     return s.select("root", F.col("max_depth").cast("int").alias("max_depth"), "same_group", "n")
+
+
+@register("study_closure", f"""with recursive {_EDGES_SQL},
+cl(name, cui) as (select name, cui from f_study union select cl.name, ed.cui2 from cl join ed on cl.cui = ed.cui1)
+select name, cui from cl""")
+def study_closure(spark, sf_dir):
+    """K3: each study concept's CUIs expanded by the transitive narrower closure."""
+    return ontology.multi_source_closure(inputs.study(spark, sf_dir), _edges(spark, sf_dir), "name")
