@@ -56,12 +56,18 @@ def concept_labels(mentions: DataFrame) -> DataFrame:
             .select("cui", F.col("_m.pref").alias("label")))
 
 
-def patient_concept_graph(mentions: DataFrame) -> DataFrame:
-    """A5+A6+A7: ``(patient_id, cui, label, n)`` sorted by lower(label)."""
-    counts = patient_concept_counts(mentions)
-    labels = concept_labels(mentions)
-    return (counts.join(labels, "cui")
-            .select("patient_id", "cui", "label", "n")
+def patient_concept_graph(mentions: DataFrame, extra_keys: tuple[str, ...] = ()) -> DataFrame:
+    """A5+A6+A7: ``(patient_id, cui, label, n, *extra_keys)`` sorted by lower(label).
+
+    One partial aggregate per (patient, cui) carries the count and the
+    earliest mention; the per-CUI label is taken from that much smaller
+    table, so the mention table is scanned and shuffled once.
+    """
+    per = (mentions.groupBy("patient_id", "cui", *extra_keys)
+           .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "ann_no", "pref")).alias("_first")))
+    labels = per.groupBy("cui").agg(F.min("_first").alias("_l")).select("cui", F.col("_l.pref").alias("label"))
+    return (per.join(labels, "cui")
+            .select("patient_id", "cui", "label", "n", *extra_keys)
             .orderBy(F.lower("label"), "patient_id", "cui"))
 
 

@@ -36,10 +36,7 @@ select c.patient_id, c.cui, lbl.label, c.n, c.concept
 from (select patient_id, cui, concept, count(*) as n from mm group by patient_id, cui, concept) c join lbl on c.cui = lbl.cui""")
 def cohort_patient_concept(spark, sf_dir):
     """Patients by concept counts for affirmed, unruled mentions of the study concepts."""
-    m = _cohort_mentions(spark, sf_dir)
-    graph = cohort.patient_concept_graph(m)
-    concept_of = m.select("cui", "concept").distinct()
-    return graph.join(concept_of, "cui").select("patient_id", "cui", "label", "n", "concept")
+    return cohort.patient_concept_graph(_cohort_mentions(spark, sf_dir), ("concept",))
 
 
 @register("study_disjoint", f"""with {_DISJOINT_SQL}
