@@ -116,3 +116,16 @@ select doc_id, sty, count(*) as n from f_ann group by rollup (doc_id, sty)""")
 def sty_counts(spark, sf_dir):
     """Annotations per document and semantic type, with totals."""
     return cohort.sty_counts(inputs.annotations(spark, sf_dir))
+
+
+@register("cohort_grouped_wide", f"""with {_MENTIONS_SQL}
+select split_part(d.modalities, '|', 1) as grp, mm.patient_id,
+ count(*) filter (where concept = 'even_key') as even_key,
+ count(*) filter (where concept = 'key_div3') as key_div3,
+ count(*) filter (where concept = 'low_key') as low_key
+from mm join f_doc d on mm.doc_id = d.doc_id group by split_part(d.modalities, '|', 1), mm.patient_id""")
+def cohort_grouped_wide(spark, sf_dir):
+    """Patient x concept counts split by a group key (the document's first modality)."""
+    m = _cohort_mentions(spark, sf_dir)
+    grp = inputs.documents(spark, sf_dir).select("doc_id", F.split("modalities", r"\|")[0].alias("grp"))
+    return cohort.grouped_wide(m.join(grp, "doc_id"), _WIDE_NAMES, "grp")

@@ -118,3 +118,14 @@ def incremental_window(spark, sf_dir):
     start, end = next_window(_STATUS, _NOW)
     ev = inputs.base(spark, sf_dir, "events").select("event_id", "ts", "event_type")
     return window_filter(ev, "ts", start, end)
+
+
+@register("handoff_docs", """select doc_id from f_doc where doc_id in (select doc_id from f_ann where ruled_by = '')
+ and contentdate >= '19980101'""")
+def handoff_docs(spark, sf_dir):
+    """Documents to hand to the NLP step: those of the given to-do list (here:
+    documents dated from 1998 on) among all documents."""
+    docs = inputs.documents(spark, sf_dir)
+    anns = inputs.annotations(spark, sf_dir).where(F.size("ruled_by") == 0).select("doc_id")
+    todo = docs.where(F.col("contentdate") >= "19980101").select("doc_id")
+    return jobs.handoff_list(docs.join(anns, "doc_id", "left_semi"), todo)
