@@ -125,16 +125,17 @@ def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame
     r = r.withColumn("root_groups", F.coalesce(
         F.col("root_groups") if cui_groups is not None else F.lit(None).cast("array<string>"),
         F.array().cast("array<string>")))
-    params = r  # one row per root: bounded by the number of roots
-    e = edges.select(F.col("cui1").alias("cui"), F.col("cui2").alias("child"))
-    child_groups = (cui_groups.select(F.col("cui").alias("child"), F.col("tuigroups").alias("child_groups"))
-                    if cui_groups is not None else None)
-
     spark = roots.sparkSession
     ensure_checkpoint_dir(spark)
+    # the inputs of every level are materialised once, so a level only joins
+    # the new frontier instead of re-deriving edges and groups from sources
+    params = r.checkpoint()  # one row per root
+    e = edges.select(F.col("cui1").alias("cui"), F.col("cui2").alias("child")).checkpoint()
+    child_groups = (cui_groups.select(F.col("cui").alias("child"), F.col("tuigroups").alias("child_groups"))
+                    .checkpoint() if cui_groups is not None else None)
     # every level is materialised once in the shared checkpoint folder; the
     # visited set is the union of those levels, so lineage stays one level deep
-    level = r.select(*keys, F.col("root").alias("cui"), F.lit(0).alias("depth")).checkpoint()
+    level = params.select(*keys, F.col("root").alias("cui"), F.lit(0).alias("depth")).checkpoint()
     levels = [level]
     depth = 0
     while depth < max_depth:
