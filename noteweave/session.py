@@ -46,11 +46,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting must point at shared storage and is read from
-    the session.  Only when it is unset (local tests) a scratch folder is made.
+    the session (or from a folder already set on the context).  Only when
+    neither is set (local tests) a scratch folder is made.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="noteweave-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 -- a core setting may be read-only at runtime
+            pass
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
