@@ -135,9 +135,11 @@ def context_frame(mentions: DataFrame, sentences: DataFrame, docs: DataFrame,
     in_sent = py_slice(sent_text, off_s, off_e)
     mismatch = F.lower(in_sent) != F.lower(F.col("str"))
     # Nearest whole-word occurrence, ties -> earlier; none -> unchanged
+    # the occurrence search (a per-row regex) runs only for mismatching
+    # mentions: CASE WHEN evaluates just the branch it takes
     occ = word_occurrences(t, F.col("str"))
     best = F.array_min(F.transform(occ, lambda p: F.struct(F.abs(p - a_s).alias("d"), p.alias("p"))))
-    offset = F.when(mismatch & (F.size(occ) > 0), best["p"] - a_s).otherwise(F.lit(0))
+    offset = F.when(mismatch, F.coalesce(best["p"] - a_s, F.lit(0))).otherwise(F.lit(0))
     m = m.withColumn("found", F.col("sent_no").isNotNull()).withColumn("offset", offset)
     o = F.col("offset")
 
