@@ -88,7 +88,12 @@ def narrower_edges(rel: DataFrame, sources: Sequence[str] | None = None,
 
 
 def rel_table(edges: DataFrame) -> DataFrame:
-    """U2d: ``rel.csv``: one row per concept, sorted comma list of children (empties dropped, X10)."""
+    """U2d: ``rel.csv``: one row per concept, sorted comma list of children (empties dropped, X10).
+
+    An export format: its row for a concept holds all of that concept's
+    children by definition.  Every join in the library uses the exploded
+    edge table instead.
+    """
     return (edges.groupBy("cui1")
             .agg(F.array_join(F.array_sort(F.collect_set("cui2")), ",").alias("cui2"))
             .select("cui1", F.lit("RN").alias("has"), "cui2"))

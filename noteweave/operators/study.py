@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.partitioning import dense_rank_within
+
 _MANUAL_SCHEMA = T.MapType(T.StringType(), T.StructType([
     T.StructField("concepts", T.ArrayType(T.StringType())),
     T.StructField("tc", T.StructType([T.StructField("closure", T.IntegerType()),
@@ -74,7 +76,8 @@ def overlap_sizes(concepts: DataFrame) -> DataFrame:
 
 
 def concept_lists(concepts: DataFrame) -> DataFrame:
-    """K9: concept -> sorted CUI list, as one row per concept."""
+    """K9: concept -> sorted CUI list, as one row per concept (an export format;
+    operators use the exploded ``(ord, name, cui)`` table)."""
     return (concepts.groupBy("ord", "name")
             .agg(F.sort_array(F.collect_set("cui")).alias("cuis")))
 
@@ -91,10 +94,13 @@ def term_labels(concepts: DataFrame, terms: DataFrame | None = None) -> DataFram
         c = c.join(terms.select("cui", "term"), "cui", "left")
     else:
         c = c.withColumn("term", F.col("cui"))
-    w = Window.partitionBy("name").orderBy("cui")
-    size = F.count(F.lit(1)).over(Window.partitionBy("name"))
-    idx = F.row_number().over(w)
-    label = F.when(size > 1, F.format_string("(%s) %s (%d)", "name", "term", idx)) \
+    # numbering without a window over a whole (possibly huge) concept:
+    # bucket by CUI prefix (monotone with CUI order), prefix sums of counts
+    c = c.withColumn("_b", F.substring("cui", 1, 5))
+    c = dense_rank_within(c, "name", ["cui"], "_b", "_idx")
+    size = c.groupBy("name").agg(F.count(F.lit(1)).alias("_size"))
+    c = c.join(size, "name")
+    label = F.when(F.col("_size") > 1, F.format_string("(%s) %s (%d)", "name", "term", "_idx")) \
         .otherwise(F.format_string("(%s) %s", "name", "term"))
     return c.select("name", "cui", label.alias("label"))
 
