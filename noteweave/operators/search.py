@@ -489,3 +489,13 @@ def training_sample(saved: DataFrame, seed: int = 42, max_n: int = 200, frac: fl
 def list_docs(anns: DataFrame) -> DataFrame:
     """Q27: all document ids."""
     return anns.select("doc_id").distinct()
+
+
+def result_envelope(results: DataFrame, transaction_id: str) -> tuple[dict, DataFrame]:
+    """Q17: header ``{success, num_results, transactionId}`` plus the result rows.
+
+    The rows stay a DataFrame (one field -> one column of values, several ->
+    one row per result); only the count reaches the driver.
+    """
+    n = results.count()
+    return {"success": True, "num_results": n, "transactionId": transaction_id}, results

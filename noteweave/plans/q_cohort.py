@@ -129,3 +129,10 @@ def cohort_grouped_wide(spark, sf_dir):
     m = _cohort_mentions(spark, sf_dir)
     grp = inputs.documents(spark, sf_dir).select("doc_id", F.split("modalities", r"\|")[0].alias("grp"))
     return cohort.grouped_wide(m.join(grp, "doc_id"), _WIDE_NAMES, "grp")
+
+
+@register("study_retained", """select ord, name, cui from f_study where name in ('low_key', 'key_div3')""")
+def study_retained(spark, sf_dir):
+    """K5: keep only the listed study concepts (left-semi join on the name list)."""
+    names = spark.createDataFrame([("low_key",), ("key_div3",)], "name string")
+    return study.retain_concepts(inputs.study(spark, sf_dir), names).select("ord", "name", "cui")

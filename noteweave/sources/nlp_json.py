@@ -128,3 +128,41 @@ def processed_documents(mentions: DataFrame, phenotypes: DataFrame, sentences: D
         F.coalesce("annotations", F.array()).alias("annotations"),
         F.coalesce("phenotypes", F.array()).alias("phenotypes"),
         F.coalesce("sentences", F.array()).alias("sentences"))).alias("json"))
+
+
+_PROCESSED = T.StructType([
+    T.StructField("annotations", T.ArrayType(T.StructType([
+        T.StructField(n, t) for n, t in (
+            ("start_pos", T.IntegerType()), ("end_pos", T.IntegerType()), ("str", T.StringType()),
+            ("id", T.StringType()), ("negation", T.StringType()), ("temporality", T.StringType()),
+            ("experiencer", T.StringType()), ("sty", T.StringType()), ("cui", T.StringType()),
+            ("pref", T.StringType()), ("study_concepts", T.ArrayType(T.StringType())),
+            ("ruled_by", T.ArrayType(T.StringType())))]))),
+    T.StructField("phenotypes", T.ArrayType(T.StructType([
+        T.StructField(n, t) for n, t in (
+            ("start_pos", T.IntegerType()), ("end_pos", T.IntegerType()), ("str", T.StringType()),
+            ("id", T.StringType()), ("negation", T.StringType()), ("temporality", T.StringType()),
+            ("experiencer", T.StringType()), ("major_type", T.StringType()), ("minor_type", T.StringType()),
+            ("ruled_by", T.ArrayType(T.StringType())))]))),
+    T.StructField("sentences", T.ArrayType(T.StructType([
+        T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType()),
+        T.StructField("id", T.StringType())])))])
+
+
+def read_processed(docs: DataFrame, json_col: str = "json") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Processed documents back to (mentions, phenotypes, sentences).
+
+    A sentence keeps its own string (X1 fixed: no start offset in ``str``).
+    """
+    p = docs.select("doc_id", F.from_json(F.col(json_col), _PROCESSED).alias("p"))
+    m = p.select("doc_id", F.explode("p.annotations").alias("a")).select("doc_id", "a.*")
+    ph = p.select("doc_id", F.explode("p.phenotypes").alias("a")).select("doc_id", "a.*")
+    s = p.select("doc_id", F.posexplode(F.array_sort("p.sentences")).alias("r", "a")).select(
+        "doc_id", (F.col("r") + 1).cast("int").alias("sent_no"), "a.*")
+    return m, ph, s
+
+
+def index_documents(processed: DataFrame, doc2patient: DataFrame) -> DataFrame:
+    """Processed documents with ``doc_id`` and ``patient_id`` for a search index
+    (write partitioned by a hash of the doc id or as a table)."""
+    return processed.join(doc2patient.select("doc_id", "patient_id"), "doc_id", "left")

@@ -85,3 +85,19 @@ def test_incremental_exactly_once(spark):
     expected_second = ev.where(F.col("day").isin(days[3:5])).count()
     assert (n1, n_fail, n2) == (expected_first, 0, expected_second)
     assert spark.read.parquet(sink).count() == expected_first + expected_second
+
+
+def test_processed_round_trip(spark):
+    from noteweave.plans.inputs import view
+    from noteweave.plans.q_jobs import raw_lines
+    docs, _bad = nlp_json.parse_lines(raw_lines(view(spark, SF, "f_note")))
+    m, p, s = nlp_json.load_annotations(docs)
+    m = m.withColumn("study_concepts", F.array().cast("array<string>")).withColumn("ruled_by", F.array().cast("array<string>"))
+    p = p.withColumn("ruled_by", F.array().cast("array<string>"))
+    out = nlp_json.processed_documents(m, p, s)
+    m2, p2, s2 = nlp_json.read_processed(out)
+    key = ["doc_id", "id", "start_pos", "end_pos", "str"]
+    assert sorted(map(tuple, m.select(*key).collect())) == sorted(map(tuple, m2.select(*key).collect()))
+    assert sorted(map(tuple, s.select("doc_id", "sent_no", "start_pos").collect())) == \
+        sorted(map(tuple, s2.select("doc_id", "sent_no", "start_pos").collect()))
+    assert p.count() == p2.count()
