@@ -105,7 +105,8 @@ _ROOT_SCHEMA_NOTE = "roots: key columns + root, qdepth INT, qstop ARRAY<STRING>,
 
 
 def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame | None = None,
-                      root_keys: Sequence[str] = (), max_depth: int = 50) -> DataFrame:
+                      root_keys: Sequence[str] = (), max_depth: int = 50,
+                      starts: DataFrame | None = None) -> DataFrame:
     """U3 for many roots at once -> ``(*root_keys, root, cui, depth)``.
 
     Per root: ``qdepth`` limits the distance (0 = the root only), ``qstop``
@@ -140,7 +141,11 @@ def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame
                     .checkpoint() if cui_groups is not None else None)
     # every level is materialised once in the shared checkpoint folder; the
     # visited set is the union of those levels, so lineage stays one level deep
-    level = params.select(*keys, F.col("root").alias("cui"), F.lit(0).alias("depth")).checkpoint()
+    if starts is None:
+        level = params.select(*keys, F.col("root").alias("cui"), F.lit(0).alias("depth")).checkpoint()
+    else:  # several start CUIs per root (multi-source walk)
+        level = (starts.select(*[F.col(k).alias(k) for k in keys], F.col("cui").alias("cui"))
+                 .dropDuplicates(keys + ["cui"]).withColumn("depth", F.lit(0)).checkpoint())
     levels = [level]
     depth = 0
     while depth < max_depth:
@@ -173,12 +178,14 @@ def multi_source_closure(starts: DataFrame, edges: DataFrame, key: str = "name",
                          max_depth: int = 50) -> DataFrame:
     """K3: per key, everything reachable from any of its start CUIs (starts included).
 
-    Runs the multi-root walk with each seed as a root under its key, then
-    keeps the distinct (key, cui) pairs.
+    One breadth-first walk per key with all its seeds as the first level (a
+    concept's closure is the union of its seeds' closures), so shared parts
+    of the graph are walked once per key, not once per seed.
     """
-    roots = starts.select(F.col(key).alias(key), F.col("cui").alias("root")).dropDuplicates([key, "root"])
-    c = closure_for_roots(roots, edges, None, root_keys=[key], max_depth=max_depth)
-    return c.select(key, "cui").distinct()
+    roots = starts.select(F.col(key).alias("root")).distinct()
+    seeds = starts.select(F.col(key).alias("root"), F.col("cui").alias("cui"))
+    c = closure_for_roots(roots, edges, None, max_depth=max_depth, starts=seeds)
+    return c.select(F.col("root").alias(key), "cui").distinct()
 
 
 def narrower_closure(edges: DataFrame, roots: DataFrame, depth: int = 999,
