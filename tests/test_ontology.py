@@ -46,3 +46,14 @@ def test_token_classification(spark):
     assert got.get(0) is None and got.get(1) is None
     assert got[2] == {"C123456"}
     assert got[3] == {"C123456", "C654321"} and got[4] == {"C123456", "C654321"}
+
+
+def test_disjoint_concepts_hold_each_cui_once(spark):
+    from noteweave.operators import study
+    from noteweave.plans.inputs import study as study_view
+    s = study_view(spark, SF)
+    d = study.disjoint_concepts(s)
+    assert d.count() == d.select("cui").distinct().count() == s.select("cui").distinct().count()
+    # the owner is the highest-ord concept holding the CUI
+    top = s.groupBy("cui").agg(F.max("ord").alias("ord"))
+    assert d.join(top, ["cui", "ord"], "left_anti").count() == 0
