@@ -136,3 +136,13 @@ def study_retained(spark, sf_dir):
     """K5: keep only the listed study concepts (left-semi join on the name list)."""
     names = spark.createDataFrame([("low_key",), ("key_div3",)], "name string")
     return study.retain_concepts(inputs.study(spark, sf_dir), names).select("ord", "name", "cui")
+
+
+@register("doc_ids_from_names", """select page_id, regexp_extract(url, '(?i)/EN/([0-9]+)', 1) as doc_id from pages
+ where regexp_extract(url, '(?i)/EN/([0-9]+)', 1) <> ''""")
+def doc_ids_from_names(spark, sf_dir):
+    """A3: document id from a file/page name by regex group 1 (case-insensitive);
+    names that do not match are ignored."""
+    p = inputs.base(spark, sf_dir, "pages").select("page_id", "url")
+    d = p.select("page_id", cohort.doc_id_from_path(F.col("url"), "/EN/([0-9]+)").alias("doc_id"))
+    return d.where(F.col("doc_id").isNotNull())
