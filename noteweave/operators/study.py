@@ -31,7 +31,7 @@ def concepts_from_tsv(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).withColumn("_f", F.split("value", "\t"))
     return lines.select(
         F.monotonically_increasing_id().alias("ord"),
-        F.col("_f")[0].alias("name"), F.col("_f")[1].alias("cui"),
+        F.get("_f", 0).alias("name"), F.get("_f", 1).alias("cui"),  # get: null past the end (ANSI-safe)
         (F.size("_f") == 2).alias("ok"))
 
 

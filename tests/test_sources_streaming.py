@@ -101,3 +101,36 @@ def test_processed_round_trip(spark):
     assert sorted(map(tuple, s.select("doc_id", "sent_no", "start_pos").collect())) == \
         sorted(map(tuple, s2.select("doc_id", "sent_no", "start_pos").collect()))
     assert p.count() == p2.count()
+
+
+def test_study_loaders(spark):
+    from noteweave.operators import study
+    d = tempfile.mkdtemp(prefix="nw-study-")
+    tsv = os.path.join(d, "label2concept.tsv")
+    with open(tsv, "w") as fh:
+        fh.write("stroke\tC0038454\nbad line\nfever\tC0015967\n")
+    rows = study.concepts_from_tsv(spark, tsv).orderBy("ord").collect()
+    assert [(r.name, r.cui, r.ok) for r in rows] == [("stroke", "C0038454", True), ("bad line", None, False),
+                                                     ("fever", "C0015967", True)]
+    man = os.path.join(d, "manual_mapped_concepts.json")
+    with open(man, "w") as fh:
+        json.dump({"b_concept": {"concepts": ["C2", "C3"], "tc": {"closure": 2, "mapped": "x"}},
+                   "a_concept": {"concepts": ["C1"]}}, fh)
+    got = [(r.ord, r.name, r.cui) for r in study.concepts_from_manual_json(spark, man).collect()]
+    assert sorted(got) == [(1, "b_concept", "C2"), (1, "b_concept", "C3"), (2, "a_concept", "C1")]
+
+
+def test_lookup_tables(spark):
+    d = tempfile.mkdtemp(prefix="nw-umls-")
+    files_ = {"cui.csv": "cui|tui|tuigroup|cuilabel\nC1|T001,T002|G1,G2|Thing\n",
+              "rel.csv": "cui1|has|cui2\nC1|RN|C2,C3\nC2|RB|C9\n",
+              "snomed.csv": "snomed|cui\n1234567|C1\n",
+              "sty.csv": "tui|tuigroup|tuigrouplabel\nT001|G1|Group one\n"}
+    for n, t in files_.items():
+        with open(os.path.join(d, n), "w") as fh:
+            fh.write(t)
+    t = files.read_lookup_tables(spark, d)
+    assert [(r.cui, r.tuis, r.tuigroups, r.cuilabel) for r in t["cui"].collect()] == \
+        [("C1", ["T001", "T002"], ["G1", "G2"], "Thing")]
+    assert sorted((r.cui1, r.cui2) for r in t["rel"].collect()) == [("C1", "C2"), ("C1", "C3")]
+    assert [tuple(r) for r in t["snomed"].collect()] == [("1234567", "C1")]
