@@ -134,3 +134,40 @@ def test_lookup_tables(spark):
         [("C1", ["T001", "T002"], ["G1", "G2"], "Thing")]
     assert sorted((r.cui1, r.cui2) for r in t["rel"].collect()) == [("C1", "C2"), ("C1", "C3")]
     assert [tuple(r) for r in t["snomed"].collect()] == [("1234567", "C1")]
+
+
+def test_sinks_and_file_readers(spark):
+    from noteweave.functions.rules import WORKING_FIELDS, load_deid_rules
+    from noteweave.operators import deid, exchange
+    from noteweave.plans.inputs import view
+    root = tempfile.mkdtemp(prefix="nw-sinks-")
+    # S3: one JSON document per file, key = file stem
+    jd = os.path.join(root, "json")
+    os.makedirs(jd)
+    with open(os.path.join(jd, "doc7.json"), "w") as fh:
+        fh.write('{"annotations":[[{"type":"Mention","id":1,"startNode":{"offset":0},"endNode":{"offset":2},'
+                 '"features":{"string_orig":"ab","inst":"C1"}}]]}')
+    with open(os.path.join(jd, "notes.txt"), "w") as fh:
+        fh.write("not a json document")
+    docs, bad = nlp_json.read_nlp_files(spark, jd, one_doc_per_file=True)
+    assert [r.doc_id for r in docs.collect()] == ["doc7"] and bad.count() == 0
+    # de-id sinks on a few reports
+    rep = view(spark, SF, "f_report").limit(20)
+    d = deid.deidentify(rep, load_deid_rules(), WORKING_FIELDS, ["Patient ID", "Patient Name"]).cache()
+    files.write_texts(d, os.path.join(root, "texts"))
+    phi = deid.phi_table(d)
+    files.write_phi_json(phi, os.path.join(root, "phi"))
+    files.write_phi_grouped(deid.phi_grouped_lines(phi), os.path.join(root, "grouped"))
+    assert spark.read.json(os.path.join(root, "phi")).count() == phi.count()
+    assert spark.read.text(os.path.join(root, "texts")).count() > 0
+    body, lines = deid.annotation_mode(d)
+    assert body.count() == 20 and lines.count() > 0
+    # eHOST folder per document, lines in order
+    a = view(spark, SF, "f_ann").where(F.col("doc_id") < 40).withColumn("label", F.col("cui"))
+    out = os.path.join(root, "ehost")
+    exchange.write_ehost(exchange.ehost_lines(a), out, 4)
+    back = spark.read.text(out)
+    assert back.where(F.col("value").startswith("<?xml")).count() == a.select("doc_id").distinct().count()
+    files.write_id_csv(d.select("doc_id"), os.path.join(root, "ids"), "doc_id")
+    assert files.read_id_list(spark, os.path.join(root, "ids")).count() == 20
+    d.unpersist()
