@@ -57,3 +57,20 @@ def test_disjoint_concepts_hold_each_cui_once(spark):
     # the owner is the highest-ord concept holding the CUI
     top = s.groupBy("cui").agg(F.max("ord").alias("ord"))
     assert d.join(top, ["cui", "ord"], "left_anti").count() == 0
+
+
+def test_unified_view_with_phenotypes(spark):
+    from noteweave.operators import display
+    m = spark.createDataFrame(
+        [(1, 1, 0, 5, "T1", "PREF A", "Affirmed", "Patient", "Recent", [])],
+        "doc_id long, ann_no int, start_pos int, end_pos int, sty string, pref string, negation string, "
+        "experiencer string, temporality string, ruled_by array<string>")
+    p = spark.createDataFrame(
+        [(1, 1, 2, 9, "stroke", "cerebro", "Affirmed", "Patient", "Recent", ["negation_filters.json"]),
+         (2, 1, 0, 3, "cva", "cerebro", "Negated", "Other", "hypothetical", [])],
+        "doc_id long, ann_no int, start_pos int, end_pos int, str string, minor_type string, negation string, "
+        "experiencer string, temporality string, ruled_by array<string>")
+    v = {(r.doc_id, r.idx): (r.category, r.label) for r in display.unify(m, p).collect()}
+    assert v == {(1, 1): ("umls", "PREF A"), (1, 2): ("customised", "stroke"), (2, 1): ("customised", "cva")}
+    kept = {(r.doc_id, r.idx) for r in display.remove_overlaps(display.unify(m, p)).collect()}
+    assert kept == {(1, 2), (2, 1)}  # (1,1) spans 0-5, (1,2) spans 2-9: the longer one stays
