@@ -60,10 +60,6 @@ def java_match(patterns: Sequence[str], case_sensitive: bool) -> str:
     return f"(?{flags})\\A(?:" + "|".join(patterns) + ")"
 
 
-def _quote(s: str) -> str:
-    return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-
-
 def word_occurrences(text: Column, word: Column) -> Column:
     """Start offsets of whole-word, case-insensitive occurrences (``\\G`` gap walk)."""
     pat = F.concat(F.lit("(?s)\\G(.*?)((?iuU)\\b"),

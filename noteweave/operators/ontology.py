@@ -101,9 +101,6 @@ def rel_table(edges: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- U3
 
-_ROOT_SCHEMA_NOTE = "roots: key columns + root, qdepth INT, qstop ARRAY<STRING>, qonlysty BOOLEAN"
-
-
 def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame | None = None,
                       root_keys: Sequence[str] = (), max_depth: int = 50,
                       starts: DataFrame | None = None) -> DataFrame:

@@ -16,8 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 BASE_TABLES = ("region nation customer supplier part orders lineitem events documents "
                "embeddings pages benchmark labels conversations").split()
 
-_CUI = "'C' || lpad(cast({k} as varchar(20)),7,'0')"
-
 VIEWS: dict[str, str] = {}
 
 # F1 annotations (one mention per line item) and their documents
