@@ -111,13 +111,14 @@ _STATUS = JobStatus("success", datetime(2000, 1, 1), datetime(2024, 1, 15))
 _NOW = datetime(2024, 1, 22)
 
 
-@register("incremental_window", """select event_id, ts, event_type from events
+@register("incremental_window", """select event_id, event_type, cast(cast(ts as date) as varchar) as day from events
  where ts between timestamp '2024-01-15 00:00:00' and timestamp '2024-01-22 00:00:00'""")
 def incremental_window(spark, sf_dir):
     """Events modified inside the next job window after a successful run."""
     start, end = next_window(_STATUS, _NOW)
     ev = inputs.base(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    return window_filter(ev, "ts", start, end)
+    return window_filter(ev, "ts", start, end).select(
+        "event_id", "event_type", F.col("ts").cast("date").cast("string").alias("day"))
 
 
 @register("handoff_docs", """select doc_id from f_doc where doc_id in (select doc_id from f_ann where ruled_by = '')
