@@ -367,20 +367,24 @@ def search(spark: SparkSession, docs: DataFrame, anns: DataFrame, query: SearchQ
     resolved = resolve_terms(terms, snomed=snomed, narrower=narrower, cui_groups=cui_groups,
                              mappings=mappings, used_cuis=used_cuis)
     hits = term_docs(anns, terms, resolved)
-    # free-text terms (no CUI resolved at all): full-text search on pref,
-    # or, with qualifiers, pref equality on the same annotation
-    resolved_terms = {r.term_no for r in resolved.select("term_no").distinct().collect()}
+    # free-text terms (no CUI resolved at all): full-text search on pref, or,
+    # with qualifiers, pref equality on the same annotation.  The text path is
+    # planned for every term and kept only for terms that resolved nothing
+    # (left-anti join), so the plan never goes back to the driver.
+    unresolved = terms.select("query_id", "term_no").distinct() \
+        .join(resolved.select("query_id", "term_no").distinct(), ["query_id", "term_no"], "left_anti")
     for ti, t in enumerate(query.terms):
-        if ti in resolved_terms:
-            continue
         q = t.q if isinstance(t.q, str) else ",".join(t.q)
+        tokens = t.q if isinstance(t.q, list) else t.q.split(",")
+        if used_cuis is None and all(re.match(CUI_RE, tok) for tok in tokens):
+            continue  # a CUI always resolves (its closure holds itself): no text path
         qual = t.negation != "Any" or t.experiencer != "Any" or _as_list(t.temporality) not in ([], ["Any"])
         if qual:
             txt = anns.where((F.col("pref") == q) & _term_qualifiers(t)).select("doc_id").distinct()
         else:
             txt = text_search(anns, docs, q)
-        hits = hits.unionByName(txt.select(F.lit(0).cast("long").alias("query_id"),
-                                           F.lit(ti).cast("int").alias("term_no"), "doc_id"))
+        txt = txt.select(F.lit(0).cast("long").alias("query_id"), F.lit(ti).cast("int").alias("term_no"), "doc_id")
+        hits = hits.unionByName(txt.join(unresolved, ["query_id", "term_no"], "left_semi"))
     matched = all_terms_docs(hits, terms)
     d = docs.join(matched.select("doc_id"), "doc_id", "left_semi")
     d = apply_filters(d, query.filter, modality_sep, today)
