@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .token_counts import token_counts
+from .warc import page_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +22,18 @@ def query(fn):
 @query
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_round_trip(table(spark, sf_dir, "pages")).drop("problem")
+
+
+ORACLES["op6_warc"] = """
+with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) x, max(page_id) over (partition by coalesce(html, '')) m from pages)
+select page_id, cast(strlen(h) as bigint) as payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           cast(((('0x' || substr(x, cast((i // 4) * 5 + 1 as bigint), 5))::int >> (15 - 5 * (i % 4))::int) & 31) as bigint) + 1, 1)), 'string_agg', '') as payload_digest,
+       case when page_id = m then 'response' else 'revisit' end as record_type,
+       case when page_id = m then null else m end as refers_to
+from p"""
