@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .near_dup import near_duplicates
 from .token_counts import token_counts
 from .warc import page_round_trip
 
@@ -37,3 +38,29 @@ select page_id, cast(strlen(h) as bigint) as payload_bytes,
        case when page_id = m then 'response' else 'revisit' end as record_type,
        case when page_id = m then null else m end as refers_to
 from p"""
+
+
+@query
+def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_minhash_near_dup"] = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') as l
+  from documents),
+s as (select doc_id, unnest(list_distinct(case when len(l) = 0 then []::varchar[] when len(l) < 5 then [array_to_string(l, ' ')]
+                     else list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) end)) as sh from w),
+h as (select distinct doc_id, md5_number(sh) as sh from s),
+n as (select doc_id, count(*) as n from h group by 1),
+-- equal sets form one class; links are sought between classes
+k as (select doc_id, count(*) as n, sum(sh::double) as k1, min(sh) as k2, max(sh) as k3, bit_xor(sh) as k4 from h group by 1),
+c as (select doc_id, min(doc_id) over (partition by n, k2, k3, k4) as rep from k),
+r as (select h.* from h join c using (doc_id) where c.rep = c.doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as common from r x join r y on x.sh = y.sh and x.doc_id < y.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * common >= 85 * (x.n + y.n - common)),
+g as (select a, b from e union select b, a from e),
+reach as (select rep as a, rep as b from c union select reach.a, g.b from reach join g on reach.b = g.a),
+m as (select a, min(b) as lowest from reach group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.lowest, d.doc_id) as component_id, d.doc_id = coalesce(m.lowest, d.doc_id) as kept
+from documents d left join n using (doc_id) left join c using (doc_id) left join m on m.a = c.rep"""
