@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import contamination, digest
 from .near_dup import near_duplicates
 from .token_counts import token_counts
 from .warc import page_round_trip
@@ -64,3 +65,23 @@ reach as (select rep as a, rep as b from c union select reach.a, g.b from reach
 m as (select a, min(b) as lowest from reach group by 1)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.lowest, d.doc_id) as component_id, d.doc_id = coalesce(m.lowest, d.doc_id) as kept
 from documents d left join n using (doc_id) left join c using (doc_id) left join m on m.a = c.rep"""
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
+ORACLES["op4_decontamination"] = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as l from documents),
+b as (select cast(item_id as varchar) as item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as l from benchmark),
+v as (select distinct item_id, least(len(l), 10) as size, unnest(list_transform(range(1, greatest(len(l) - 9, 1) + 1), lambda i: array_to_string(l[i:i + 9], ' '))) as win from b where len(l) > 0),
+sizes as (select distinct size from v),
+d as (select doc_id, size, unnest(range(1, len(l) - size + 2)) as p, unnest(list_transform(range(1, len(l) - size + 2), lambda i: array_to_string(l[i:i + size - 1], ' '))) as win
+      from w, sizes where len(l) >= size),
+m as (select d.doc_id, d.p, d.size, v.item_id from d join v using (size, win)),
+h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + size)) as q from m) group by 1),
+i as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from m) group by 1)
+select doc_id, cast(len(l) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from w left join h using (doc_id) left join i using (doc_id)"""
