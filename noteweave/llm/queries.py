@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import neighbours
 from .common import table
 from .decontam import contamination, digest
 from .near_dup import near_duplicates
@@ -85,3 +86,8 @@ h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(rang
 i as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from m) group by 1)
 select doc_id, cast(len(l) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
 from w left join h using (doc_id) left join i using (doc_id)"""
+
+
+@query
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"))
