@@ -69,3 +69,57 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def fold(id_col: str, mod: int):
     """crc32 of the id written as text, modulo ``mod``: the folds that fix which rows are held out."""
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(mod)).cast("int")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has (names differ by more than case)."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def annotate(df: DataFrame, text_col: str, make, fields: list[tuple[str, str]], piece_bytes: int | None = None) -> DataFrame:
+    """All columns of ``df`` and ``fields`` (name, type) computed from the text.
+
+    ``make()`` is called once a task and gives a function of (bytes, ends) of some whole texts that returns
+    an array for each field.  A null text counts as empty.  The names must be free in ``df``.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from . import kernels as K
+
+    added = [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]
+    schema = T.StructType([*df.schema.fields, *added])
+    kinds = [to_arrow_type(f.dataType) for f in added]
+    size = piece_bytes or K.PIECE_BYTES
+
+    def run(batches):
+        work = make()
+        for b in batches:
+            out = [[] for _ in fields]
+            for _, _, data, ends in K.pieces(*K.texts(b.column(text_col)), size):
+                for have, got in zip(out, work(data, ends)):
+                    have.extend(got.tolist() if hasattr(got, "tolist") else got)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(o, k) for o, k in zip(out, kinds))], schema.names)
+
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """(text, y) of at most ``per_class`` training documents of each label, and the number of labels of each.
+
+    Rows whose fold is 0 are held out and never read here.  Of conflicting labels of an id the larger
+    counts; null labels and ids are ignored.  The sample is the lowest by a hash of the id, so it does not
+    depend on order or partitions; its bound makes the broadcast small.
+    """
+    rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
+    rows = rows.filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (fold("id", mod) != 0)).groupBy("id").agg(F.max("y").alias("y"))
+    sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    parts = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
+    some = parts[0].unionByName(parts[1])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(some), "id").select("id", "text", "y"), sizes

@@ -10,6 +10,7 @@ from .ann import neighbours
 from .common import table
 from .decontam import contamination, digest
 from .near_dup import near_duplicates
+from .quality import quality
 from .token_counts import token_counts
 from .warc import page_round_trip
 
@@ -91,3 +92,8 @@ from w left join h using (doc_id) left join i using (doc_id)"""
 @query
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
