@@ -12,6 +12,7 @@ from .decontam import contamination, digest
 from .near_dup import near_duplicates
 from .quality import quality
 from .token_counts import token_counts
+from .toxicity import toxicity
 from .warc import page_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,8 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
