@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = stored(sizes, folder, "sizes")
     placed = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(sizes, "grp")
     placed = stored(placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), folder, "placed")
-    sets = rows.join(placed, rows.doc_id == placed.rep).select("rep", "grp", "blocks", "own", "text")
+    # the members grow with the corpus: the same join at every size, never a broadcast
+    sets = rows.hint("merge").join(placed, rows.doc_id == placed.rep).select("rep", "grp", "blocks", "own", "text")
 
     def run(batches):
         for b in batches:
