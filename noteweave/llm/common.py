@@ -123,3 +123,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int
     some = parts[0].unionByName(parts[1])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.join(F.broadcast(some), "id").select("id", "text", "y"), sizes
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps; otherwise they stay until the driver collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

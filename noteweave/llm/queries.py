@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import neighbours
+from .bwt_dedup import repeat_digest
 from .common import table
 from .decontam import contamination, digest
 from .near_dup import near_duplicates
@@ -103,3 +104,23 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_suffix_array_dedup"] = """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, h, unnest(range(0, length(h) // 2 - 49)) as p from t),
+w as (select doc_id, p, substr(h, 2 * p + 1, 100) as s from p),
+m as (select s, min(doc_id) as lowest from w group by 1 having count(distinct doc_id) > 1),
+c as (select doc_id, p, lag(p) over o as before, lead(p) over o as after from w join m using (s) where lowest < doc_id window o as (partition by doc_id order by p)),
+r as (select doc_id, p, least(50, coalesce(after - p, 50)) as adds, sum(case when before is null or p > before + 50 then 1 else 0 end) over (partition by doc_id order by p) as span from c),
+s as (select doc_id, span, min(p) as a, max(p) + 50 as z, sum(adds) as n from r group by 1, 2),
+k as (select doc_id, a, z, n, coalesce(lag(z) over (partition by doc_id order by a), 0) as since from s),
+g as (select k.doc_id, sum(n) as n_removed, count(*) as n_spans, max(z) as last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' order by a) as head from k join t using (doc_id) group by 1)
+select doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(case when n_removed is null then h else head || substr(h, 2 * last + 1) end)) as kept_sha256
+from t left join g using (doc_id)"""
