@@ -10,6 +10,7 @@ from .ann import neighbours
 from .bwt_dedup import repeat_digest
 from .common import table
 from .decontam import contamination, digest
+from .mixing import TARGETS, by_language, mix
 from .near_dup import near_duplicates
 from .quality import quality
 from .token_counts import token_counts
@@ -124,3 +125,10 @@ g as (select k.doc_id, sum(n) as n_removed, count(*) as n_spans, max(z) as last,
 select doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
        sha256(unhex(case when n_removed is null then h else head || substr(h, 2 * last + 1) end)) as kept_sha256
 from t left join g using (doc_id)"""
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = mix(docs.select("doc_id", "text"), by_language(docs, table(spark, sf_dir, "labels")), TARGETS)
+    return out.select("doc_id", "n_tokens", "domain", "posterior", "rate", "copies")
