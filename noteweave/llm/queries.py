@@ -10,6 +10,7 @@ from .ann import neighbours
 from .bwt_dedup import repeat_digest
 from .common import table
 from .decontam import contamination, digest
+from .lm import lm_scores
 from .mixing import TARGETS, by_language, mix
 from .near_dup import near_duplicates
 from .quality import quality
@@ -132,3 +133,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mix(docs.select("doc_id", "text"), by_language(docs, table(spark, sf_dir, "labels")), TARGETS)
     return out.select("doc_id", "n_tokens", "domain", "posterior", "rate", "copies")
+
+
+@query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))

@@ -69,7 +69,7 @@ class Shards:
 
         import pyarrow.compute  # noqa: F401
 
-        self.table = self.stored(docs.mapInArrow(run, "shard long, rows binary").repartition(parts, "shard"), "shards")
+        self.table = self.stored(docs.mapInArrow(run, "shard long, rows binary").repartition(parts, "shard").sortWithinPartitions("shard"), "shards")
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` in buckets by shard: joins of such tables on it need no shuffle."""
