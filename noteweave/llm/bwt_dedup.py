@@ -397,8 +397,8 @@ def answer_intervals(messages: list[bytes], length: int, most: int):
         yield pack(steps[mine].astype(np.uint16), spans[which].astype(np.uint16), lowest[starts[which]])
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", names: dict[str, str] | None = None, limits: Limits = Limits()) -> DataFrame:
-    """All columns of ``docs`` and kept (the remaining bytes) and spans (start and end of each removed run, in bytes).
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", names: dict[str, str] | None = None, as_text: bool = False, limits: Limits = Limits()) -> DataFrame:
+    """All columns of ``docs`` and kept (the remaining bytes; with ``as_text`` the characters left whole) and spans (start and end of each removed run, in bytes).
 
     A byte goes if a ``length``-byte string over it also starts in a document with a smaller id; strings are
     judged on the input.  A null text is empty; a row without an id loses nothing and takes nothing from
@@ -422,7 +422,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     one = shards.ask("shared", [], lambda rows, a: shard(rows, a).ask_shared(), answer_shared)
     two = shards.ask("owners", [one], lambda rows, a: shard(rows, a).ask_owners(), lambda m: answer_owners(m, limits.hot))
     three = shards.ask("intervals", [one, two], lambda rows, a: shard(rows, a).ask_intervals(), lambda m: answer_intervals(m, length, limits.merge))
-    schema = T.StructType([*docs.schema.fields, T.StructField(names["kept"], T.BinaryType()), T.StructField(names["spans"], T._parse_datatype_string("array<struct<start:long,stop:long>>"))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names["kept"], T.StringType() if as_text else T.BinaryType()), T.StructField(names["spans"], T._parse_datatype_string("array<struct<start:long,stop:long>>"))])
 
     def make(rows, answers):
         s = shard(rows, answers)
@@ -431,9 +431,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         for a, z in zip(np.r_[0, s.ends[:-1]].tolist(), s.ends.tolist()):
             own = gone[a:z]
             turn = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
-            kept.append(s.data[a:z][~own].tobytes())
+            rest = s.data[a:z][~own].tobytes()
+            kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
             spans.append([{"start": x, "stop": y} for x, y in zip(turn[::2].tolist(), turn[1::2].tolist())])
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], schema.names)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], schema.names)
 
     return shards.finish([one, two, three], make, schema)
 
