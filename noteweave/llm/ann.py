@@ -7,8 +7,9 @@ by their distance, the nearest is opened, and leaves come out in the order in wh
 they are visited.  The number of visits is widened until the neighbours of calibration
 queries, known from a complete comparison, are reached at the wanted rate.
 
-Leaves are split into blocks of bounded size, so a leaf that holds much of the data, or
-that most queries visit, is spread over tasks.
+Neighbouring leaves share a bin of bounded size and a larger leaf has several bins, so a
+leaf that holds much of the data is spread over tasks; so are the queries of a bin.  A
+bin answers a query with its best vectors among the leaves that the query visits.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ SAMPLE = 20_000
 CALIBRATION = 128
 #: Vectors wanted in a leaf; the sample bounds the number of leaves by SAMPLE / 8.
 LEAF_ROWS, BRANCHES = 128, 16
-#: Vectors and queries in a block.
-BLOCK, QUERY_BLOCK = 2048, 1024
+#: Vectors in a bin, and queries that are compared with a bin in one group.
+BIN, QUERY_BLOCK = 4096, 1024
 
 
 class Tree:
@@ -105,19 +106,15 @@ def matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(len(col), dim)
 
 
-def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest inner products among vectors of another id; ties to the smaller id.
+def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest inner products of q with rows of x; ties to the smaller id.
 
-    The product of matrices only narrows the choice; each score is then summed in the same order
-    whatever block the vector is in, so that equal vectors have equal scores.
+    ``rough`` has the products, minus infinity for rows that do not count.  It only narrows the choice; each
+    score is then summed in the same order wherever the vector stands, so equal vectors have equal scores.
     """
-    rough = x @ q
-    rough[ids == own] = -np.inf
-    take = np.arange(len(x))
-    if len(x) > k + 1:
-        limit = np.partition(rough, len(x) - k)[len(x) - k]
-        take = np.flatnonzero(rough >= limit - 1e-9 * (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1).max()) + 1e-300))
-    take = take[ids[take] != own]
+    limit = np.partition(rough, len(x) - k)[len(x) - k] if len(x) > k else -np.inf
+    slack = 1e-9 * (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1).max(initial=0)) + 1e-300)
+    take = np.flatnonzero((rough >= limit - slack) & (rough > -np.inf))
     score = (x[take] * q).sum(axis=1)
     order = np.lexsort((ids[take], -score))[:k]
     return ids[take][order], score[order]
@@ -182,7 +179,8 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 x, ids, leaf = matrix(b.column("x"), dim), b.column("vec_id").to_numpy(), b.column("leaf").to_numpy()
                 where = dict(zip(ids.tolist(), leaf.tolist()))
                 for i, (own, q) in enumerate(zip(*asked.value)):
-                    held[i] = sorted([*held[i], *((-s, v, where[v]) for v, s in zip(*(a.tolist() for a in best(x, ids, q, own, k))))])[:k]
+                    rough = np.where(ids == own, -np.inf, x @ q)
+                    held[i] = sorted([*held[i], *((-s, v, where[v]) for v, s in zip(*(a.tolist() for a in best(x, ids, q, rough, k))))])[:k]
         flat = [(i, -s, v, leaf) for i, h in enumerate(held) for s, v, leaf in h]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*flat) if flat else ((),) * 4, (pa.int32(), pa.float64(), pa.int64(), pa.int32()))], ["i", "score", "vec_id", "leaf"])
 
@@ -198,32 +196,55 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     share = np.cumsum(reached) / max(1, reached.sum())
     visits = int(np.searchsorted(share, min(recall, share[-1]) - 1e-12) + 1) if len(truth) else leaves
 
+    # bins: the number of leaves, and so of these rows, is bounded by the sample
+    sizes = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}
+    first, bins, room = {}, {}, 0
+    number = -1
+    for leaf in sorted(sizes):
+        n = sizes[leaf]
+        if n > BIN:
+            first[leaf], bins[leaf] = number + 1, -(-n // BIN)
+            number, room = number + bins[leaf], 0
+            continue
+        if n > room:
+            number, room = number + 1, BIN
+        first[leaf], bins[leaf], room = number, 1, room - n
+    placed = spark.createDataFrame([(leaf, first[leaf], bins[leaf]) for leaf in sizes], "leaf int, first int, bins int")
+    filed = index.join(F.broadcast(placed), "leaf").select("vec_id", "x", "leaf", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "bins")).cast("int").alias("bin"))
+
     def walk(batches):
         for b in batches:
-            if len(b):
-                found = [tree.value.visits(np.append(q, 0.0), visits) for q in matrix(b.column("x"), dim)]
-                where = np.repeat(np.arange(len(b)), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(where)), b.column("x").take(pa.array(where)), pa.array(np.concatenate(found).astype(np.int32))], ["query_id", "q", "leaf"])
-
-    asked_rows = stored(queries.select("vec_id", "x").mapInArrow(walk, "query_id long, q binary, leaf int"), folder, "visits")
-    # a row per leaf, whose number the sample bounds
-    sizes = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}
-    asks = {r.leaf: r["count"] for r in asked_rows.groupBy("leaf").count().collect()}
-    split = spark.createDataFrame([(leaf, -(-n // BLOCK), -(-asks[leaf] // QUERY_BLOCK)) for leaf, n in sorted(sizes.items()) if leaf in asks], "leaf int, blocks int, query_blocks int")
-    left = index.join(F.broadcast(split), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-    right = asked_rows.join(F.broadcast(split), "leaf").withColumn("query_block", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            out = []
+            for own, raw in zip(b.column("vec_id").to_pylist(), b.column("x").to_pylist()):
+                asks: dict[int, list[int]] = {}
+                for leaf in tree.value.visits(np.append(np.frombuffer(raw), 0.0), visits):
+                    for n in range(first.get(leaf, 0), first.get(leaf, 0) + bins.get(leaf, 0)):
+                        asks.setdefault(n, []).append(leaf)
+                out += [(n, own, raw, np.array(leaves, np.int32).tobytes()) for n, leaves in asks.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else ((),) * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bin", "query_id", "q", "leaves"])
+
+    asks = stored(queries.select("vec_id", "x").mapInArrow(walk, "bin int, query_id long, q binary, leaves binary"), folder, "asks")
+    shares = asks.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("shares"))
+    shares = stored(shares, folder, "shares")
+    left = filed.join(shares, "bin").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    right = asks.join(shares, "bin").withColumn("share", F.pmod(F.xxhash64("query_id"), "shares").cast("int"))
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
             x, ids = np.frombuffer(b"".join(a["x"]), np.float64).reshape(len(a), dim), a["vec_id"].to_numpy()
-            for own, q in zip(b["query_id"], b["q"]):
-                v, s = best(x, ids, np.frombuffer(q, np.float64), own, k)
-                out.append((np.full(len(v), own), v, s))
+            here, leaf = np.unique(a["leaf"].to_numpy(), return_inverse=True)
+            for at in range(0, len(b), 64):
+                some = b.iloc[at: at + 64]
+                q = np.frombuffer(b"".join(some["q"]), np.float64).reshape(len(some), dim)
+                for own, v, rough, leaves in zip(some["query_id"], q, (x @ q.T).T, some["leaves"]):
+                    counts = np.isin(here, np.frombuffer(leaves, np.int32))[leaf] & (ids != own)
+                    near, value = best(x, ids, v, np.where(counts, rough, -np.inf), k)
+                    out.append((np.full(len(near), own), near, value))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame({"query_id": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "score": cols[2]})
 
-    keys = ["leaf", "block", "query_block"]
-    scored = left.select(*keys, "vec_id", "x").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
+    keys = ["bin", "share"]
+    scored = left.select(*keys, "vec_id", "x", "leaf").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q", "leaves").groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

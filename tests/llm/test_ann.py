@@ -39,9 +39,9 @@ def test_table(spark):
     compare(ann.neighbours(df).collect(), exact(rows, 20, 20), 0.9)
 
 
-@pytest.mark.parametrize("block", [2048, 5])
+@pytest.mark.parametrize("block", [4096, 5])
 def test_copies_and_odd_rows(spark, monkeypatch, block):
-    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "BIN", block)
     monkeypatch.setattr(ann, "QUERY_BLOCK", block)
     rng = np.random.default_rng(block)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(i, [1.0] * 8) for i in range(300, 420)]
