@@ -129,7 +129,9 @@ def context_frame(mentions: DataFrame, sentences: DataFrame, docs: DataFrame,
     off_s, off_e = a_s - F.col("sent_start"), a_e - F.col("sent_start")
     sent_text = py_slice(t, F.col("sent_start"), F.col("sent_end"))
     in_sent = py_slice(sent_text, off_s, off_e)
-    mismatch = F.lower(in_sent) != F.lower(F.col("str"))
+    # A span whose text is the mention's string as it stands is never moved
+    exact = py_slice(t, a_s, a_e) == F.col("str")
+    mismatch = ~F.coalesce(exact, F.lit(False)) & (F.lower(in_sent) != F.lower(F.col("str")))
     # Nearest whole-word occurrence, ties -> earlier; none -> unchanged
     # the occurrence search (a per-row regex) runs only for mismatching
     # mentions: CASE WHEN evaluates just the branch it takes
@@ -168,7 +170,9 @@ def context_frame(mentions: DataFrame, sentences: DataFrame, docs: DataFrame,
     a = F.col("anchor")
     ctx_prev = F.when(a == -1, F.col("_pp")).when(a == 0, prev).otherwise(ctx)
     ctx_next = F.when(a == 1, F.col("_nn")).when(a == 0, nxt).otherwise(ctx)
-    str_orig = F.when(mismatch, F.col("str")).otherwise(in_sent)
+    # The text at the (relocated) place; the annotation's string only where the two still differ
+    moved = py_slice(F.col("_ctx"), off_s, off_e)
+    str_orig = F.when(F.lower(moved) == F.lower(F.col("str")), moved).otherwise(F.col("str"))
     return (m.withColumn("s_before", s_before).withColumn("s_end", s_end)
             .withColumn("ctx_prev", ctx_prev).withColumn("ctx_next", ctx_next)
             .withColumn("str_orig", str_orig)
@@ -218,7 +222,7 @@ def verdict(cfg: ContextConfig, cut_rules: Sequence[tuple[ContextRule, list[int]
         sk = F.array(*[F.lit(s.lower()) for s in cfg.skip_terms])
         out = F.when(F.array_contains(sk, F.lower(F.col("str_orig"))), F.array(F.lit("skip terms"))).otherwise(out)
     if cfg.osf_patterns:  # C9
-        hit = F.col("str_orig").rlike("(?d)\\A(?:" + "|".join(cfg.osf_patterns) + ")")
+        hit = F.col("str_orig").rlike("(?dU)\\A(?:" + "|".join(cfg.osf_patterns) + ")")
         out = F.when(hit, F.array(F.lit("original-string-rule"))).otherwise(out)
     return out
 

@@ -85,14 +85,16 @@ def snippet(view: DataFrame, texts: DataFrame, more: int = 20) -> DataFrame:
         .withColumnRenamed("start_pos", "s").withColumnRenamed("end_pos", "e")
     first = (remove_overlaps(flags).groupBy("doc_id")
              .agg(F.min(F.struct("s", "idx", "e", "t", "label", "category", "eff_negation", "temporality",
-                                 "hypothetical", "abbrev", "eff_experiencer")).alias("f")))
+                                 "hypothetical", "abbrev", "eff_experiencer", "experiencer")).alias("f")))
     d = texts.select("doc_id", "text").join(first, "doc_id", "left")
     t, f = F.col("text"), F.col("f")
     s, e = f["s"], f["e"]
     prev = F.when(s > more, s - more).otherwise(s)
     end = F.least(e + more, F.length(t))
+    # a phenotype shows its own experiencer field, a mention the effective one
+    experiencer = F.when(f["category"] == "umls", f["eff_experiencer"]).otherwise(f["experiencer"])
     cls = F.concat_ws(" ", F.lit("default"), f["category"], f["eff_negation"], f["temporality"], f["hypothetical"],
-                      f["abbrev"], f["eff_experiencer"])
+                      f["abbrev"], experiencer)
 
     def sub(a, b):
         return F.when(b > a, F.substring(t, a + 1, b - a)).otherwise(F.lit(""))

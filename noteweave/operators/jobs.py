@@ -18,21 +18,17 @@ WORD_RE = r"\w+"
 def spans(text: Column, pattern: str) -> Column:
     """All non-overlapping matches of ``pattern`` as ``{start, end, str}`` (code points).
 
-    ``\\G(gap)(match)`` pairs from ``regexp_extract_all``; positions are the
-    running sum of gap and match lengths.
+    One ``finditer`` pass per text in Arrow batches: linear in the text, which
+    an array built up by an aggregate is not.  ``\\w`` is ASCII, as in Java.
     """
-    pat = f"(?s)\\G(.*?)({pattern})"
-    z = F.arrays_zip(F.regexp_extract_all(text, F.lit(pat), 1).alias("g"),
-                     F.regexp_extract_all(text, F.lit(pat), 2).alias("m"))
-    init = F.struct(F.lit(0).alias("p"),
-                    F.array().cast("array<struct<start:int,end:int,str:string>>").alias("out"))
-    acc = F.aggregate(z, init, lambda a, x: F.struct(
-        (a["p"] + F.length(x["g"]) + F.length(x["m"])).alias("p"),
-        F.concat(a["out"], F.array(F.struct(
-            (a["p"] + F.length(x["g"])).cast("int").alias("start"),
-            (a["p"] + F.length(x["g"]) + F.length(x["m"])).cast("int").alias("end"),
-            x["m"].alias("str")))).alias("out")))
-    return acc["out"]
+    @F.pandas_udf("array<struct<start:int,end:int,str:string>>")
+    def found(col):
+        import re
+        finder = re.compile(pattern, re.ASCII)
+        return col.map(lambda t: None if t is None else [
+            {"start": m.start(), "end": m.end(), "str": m.group()} for m in finder.finditer(t) if m.end() > m.start()])
+
+    return found(text)
 
 
 def sentence_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -43,33 +39,35 @@ def sentence_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos")))
 
 
-def word_ngrams(docs: DataFrame, max_n: int = 3, text_col: str = "text") -> DataFrame:
-    """Word n-grams (1..max_n) with offsets: ``(doc_id, n, start_pos, end_pos, ngram)``."""
-    w = docs.select("doc_id", spans(F.col(text_col), WORD_RE).alias("w"))
-    grams = []
-    for n in range(1, max_n + 1):
-        g = w.select("doc_id", F.explode(F.transform(
-            F.sequence(F.lit(0), F.size("w") - n),
-            lambda i: F.struct(F.lit(n).alias("n"), F.col("w")[i]["start"].alias("start_pos"),
-                               F.col("w")[i + n - 1]["end"].alias("end_pos"),
-                               F.array_join(F.transform(F.slice("w", i + 1, n), lambda x: x["str"]), " ").alias("ngram"))
-        )).alias("g")).where(F.size("w") >= n)
-        grams.append(g.select("doc_id", "g.*"))
-    out = grams[0]
-    for g in grams[1:]:
-        out = out.unionByName(g)
-    return out
-
-
-def gazetteer(docs: DataFrame, labels: DataFrame, max_n: int = 3, text_col: str = "text") -> DataFrame:
+def word_ngrams(docs: DataFrame, max_n: int, text_col: str = "text") -> DataFrame:
+    """Word n-grams (1..max_n) with offsets: ``(doc_id, n, start_pos, end_pos, ngram)``.
+
+    A text is split into words once; each word starts up to ``max_n`` n-grams.
+    """
+    w = docs.select("doc_id", spans(F.col(text_col), WORD_RE).alias("w")).where(F.size("w") > 0)
+    i, n = F.col("i"), F.col("n")
+    return (w.select("doc_id", "w", F.posexplode("w").alias("i", "first"))
+            .select("doc_id", "i", F.slice("w", i + 1, F.lit(max_n)).alias("w"))
+            .select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
+            .select("doc_id", "n", F.col("w")[0]["start"].alias("start_pos"), F.element_at("w", n)["end"].alias("end_pos"),
+                    F.array_join(F.transform(F.slice("w", F.lit(1), n), lambda x: x["str"]), " ").alias("ngram")))
+
+
+def gazetteer(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """Dictionary match of labels against word n-grams (case-insensitive,
     words normalised to single spaces) -> mention rows ``(doc_id, start_pos,
-    end_pos, str, cui)``.  The dictionary side is folded to one row per
-    normalised label; Spark broadcasts it when its measured size allows."""
+    end_pos, str, cuis)``.
+
+    The dictionary is folded to one row per normalised label with its CUIs in
+    order, so a mention is one row however many CUIs share the label.  The
+    longest label (one aggregate over the dictionary) gives the longest n-gram.
+    """
     norm = F.array_join(F.split(F.lower(F.trim(F.col("label"))), r"\s+"), " ")
-    dic = labels.select("cui", norm.alias("key")).distinct()
-    g = word_ngrams(docs, max_n, text_col).withColumn("key", F.lower("ngram"))
-    return g.join(dic, "key").select("doc_id", "start_pos", "end_pos", F.col("ngram").alias("str"), "cui")
+    dic = (labels.select("cui", norm.alias("key")).where(F.col("key") != "")
+           .groupBy("key").agg(F.array_sort(F.collect_set("cui")).alias("cuis")))
+    longest = dic.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
+    g = word_ngrams(docs, longest, text_col).withColumn("key", F.lower("ngram"))
+    return g.join(dic, "key").select("doc_id", "start_pos", "end_pos", F.col("ngram").alias("str"), "cuis")
 
 
 def handoff_list(docs: DataFrame, todo: DataFrame | None) -> DataFrame:

@@ -25,6 +25,9 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
+#: Deeper than any path: a walk without a depth limit.
+NO_LIMIT = 2 ** 31 - 1
+
 
 # ---------------------------------------------------------------- U1
 
@@ -102,21 +105,21 @@ def rel_table(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- U3
 
 def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame | None = None,
-                      root_keys: Sequence[str] = (), max_depth: int = 50,
-                      starts: DataFrame | None = None) -> DataFrame:
+                      root_keys: Sequence[str] = (), starts: DataFrame | None = None) -> DataFrame:
     """U3 for many roots at once -> ``(*root_keys, root, cui, depth)``.
 
     Per root: ``qdepth`` limits the distance (0 = the root only), ``qstop``
     lists CUIs that are neither returned nor descended (never applied to the
     root), and ``qonlysty`` keeps only children that share a type group with
-    the root (a failing child is not descended).  Depth is the shortest
-    distance (breadth-first); the full closure equals any walk order's.
+    the root (a failing child is not descended); it needs ``cui_groups``.
+    Depth is the shortest distance (breadth-first); the walk goes on until the
+    frontier is empty, so without a ``qdepth`` the closure is complete.
     """
     keys = list(root_keys) + ["root"]
     cols = roots.columns
     r = roots
     if "qdepth" not in cols:
-        r = r.withColumn("qdepth", F.lit(999))
+        r = r.withColumn("qdepth", F.lit(NO_LIMIT))
     if "qstop" not in cols:
         r = r.withColumn("qstop", F.array().cast("array<string>"))
     if "qonlysty" not in cols:
@@ -128,6 +131,8 @@ def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame
     r = r.withColumn("root_groups", F.coalesce(
         F.col("root_groups") if cui_groups is not None else F.lit(None).cast("array<string>"),
         F.array().cast("array<string>")))
+    if cui_groups is None and "qonlysty" in cols and not r.where("qonlysty").isEmpty():
+        raise ValueError("qonlysty needs the type groups of the CUIs")
     spark = roots.sparkSession
     ensure_checkpoint_dir(spark)
     # the inputs of every level are materialised once, so a level only joins
@@ -145,7 +150,7 @@ def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame
                  .dropDuplicates(keys + ["cui"]).withColumn("depth", F.lit(0)).checkpoint())
     levels = [level]
     depth = 0
-    while depth < max_depth:
+    while True:
         depth += 1
         step = (level.select(*keys, "cui").join(e, "cui")
                 .join(params.where(F.col("qdepth") >= depth), keys)
@@ -154,8 +159,6 @@ def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame
             step = (step.join(child_groups, "child", "left")
                     .where(~F.col("qonlysty") | F.coalesce(
                         F.arrays_overlap("root_groups", "child_groups"), F.lit(False))))
-        else:
-            step = step.where(~F.col("qonlysty"))
         visited = levels[0].select(*keys, "cui")
         for lv in levels[1:]:
             visited = visited.unionByName(lv.select(*keys, "cui"))
@@ -171,8 +174,7 @@ def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame
     return out
 
 
-def multi_source_closure(starts: DataFrame, edges: DataFrame, key: str = "name",
-                         max_depth: int = 50) -> DataFrame:
+def multi_source_closure(starts: DataFrame, edges: DataFrame, key: str = "name") -> DataFrame:
     """K3: per key, everything reachable from any of its start CUIs (starts included).
 
     One breadth-first walk per key with all its seeds as the first level (a
@@ -181,11 +183,11 @@ def multi_source_closure(starts: DataFrame, edges: DataFrame, key: str = "name",
     """
     roots = starts.select(F.col(key).alias("root")).distinct()
     seeds = starts.select(F.col(key).alias("root"), F.col("cui").alias("cui"))
-    c = closure_for_roots(roots, edges, None, max_depth=max_depth, starts=seeds)
+    c = closure_for_roots(roots, edges, None, starts=seeds)
     return c.select(F.col("root").alias(key), "cui").distinct()
 
 
-def narrower_closure(edges: DataFrame, roots: DataFrame, depth: int = 999,
+def narrower_closure(edges: DataFrame, roots: DataFrame, depth: int = NO_LIMIT,
                      prune: Sequence[str] = (), same_group: bool = False,
                      cui_groups: DataFrame | None = None) -> DataFrame:
     """U3 with one setting for every root in ``roots(root)``."""
@@ -197,22 +199,23 @@ def narrower_closure(edges: DataFrame, roots: DataFrame, depth: int = 999,
 
 def expansion_sizes(edges: DataFrame, roots: DataFrame, cui_groups: DataFrame,
                     depths: Sequence[int] = (999, 2, 1, 0)) -> DataFrame:
-    """Closure size per root, depth limit and type filter, in one BFS.
+    """Closure size per root, depth limit (999: none) and type filter.
 
-    All (depth limit, filter) settings run as separate root keys of the
-    same multi-root walk.
+    One walk per type filter, to the largest depth asked for; the sizes for
+    smaller depths count its rows up to that depth.
     """
-    settings = [(d, f) for d in depths for f in (False, True)]
-    # roots x settings without a join: an array literal of the settings, exploded
-    arr = F.array(*[F.struct(F.lit(d).alias("qdepth"), F.lit(f).alias("qonlysty")) for d, f in settings])
+    limits = [(d, NO_LIMIT if d == 999 else d) for d in depths]
+    # roots x filters without a join: an array literal, exploded
     r = (roots.select("root").distinct()
-         .select("root", F.explode(arr).alias("s"))
-         .select("root", F.col("s.qdepth").alias("qdepth"), F.col("s.qonlysty").alias("qonlysty"))
-         .withColumn("qstop", F.array().cast("array<string>")))
-    c = closure_for_roots(r.withColumn("max_depth", F.col("qdepth"))
-                          .withColumn("same_group", F.col("qonlysty")),
-                          edges, cui_groups, root_keys=["max_depth", "same_group"])
-    return c.groupBy("root", "max_depth", "same_group").agg(F.count(F.lit(1)).alias("n"))
+         .select("root", F.explode(F.array(F.lit(False), F.lit(True))).alias("qonlysty"))
+         .withColumn("qdepth", F.lit(max(n for _, n in limits)))
+         .withColumn("qstop", F.array().cast("array<string>"))
+         .withColumn("same_group", F.col("qonlysty")))
+    c = closure_for_roots(r, edges, cui_groups, root_keys=["same_group"])
+    n = c.groupBy("root", "same_group").agg(
+        *[F.sum((F.col("depth") <= n).cast("long")).alias(f"n{d}") for d, n in limits])
+    sizes = F.array(*[F.struct(F.lit(d).alias("max_depth"), F.col(f"n{d}").alias("n")) for d, _ in limits])
+    return n.select("root", "same_group", F.explode(sizes).alias("s")).select("root", "s.max_depth", "same_group", "s.n")
 
 
 # ---------------------------------------------------------------- U4/U5

@@ -20,6 +20,7 @@ when it matches every one of the query's terms.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
@@ -135,8 +136,7 @@ def classify_tokens(terms: DataFrame, snomed: DataFrame | None,
 
 def resolve_terms(terms: DataFrame, *, snomed: DataFrame | None = None,
                   narrower: DataFrame | None = None, cui_groups: DataFrame | None = None,
-                  mappings: DataFrame | None = None, used_cuis: DataFrame | None = None,
-                  max_depth: int = 50) -> DataFrame:
+                  mappings: DataFrame | None = None, used_cuis: DataFrame | None = None) -> DataFrame:
     """Q1-Q5: ``(query_id, term_no, ...)`` -> ``(query_id, term_no, cui)``.
 
     * CUI tokens expand by the narrower closure (U3) with the token's depth,
@@ -152,8 +152,7 @@ def resolve_terms(terms: DataFrame, *, snomed: DataFrame | None = None,
     out = None
     if narrower is not None:
         roots = cui_tok.select(*key, F.col("seed").alias("root"), "qdepth", "qstop", "qonlysty")
-        exp = ontology.closure_for_roots(roots, narrower, cui_groups, root_keys=key,
-                                         max_depth=max_depth)
+        exp = ontology.closure_for_roots(roots, narrower, cui_groups, root_keys=key)
         out = exp.select(*key, "cui")
     else:
         out = cui_tok.select(*key, F.col("seed").alias("cui"))
@@ -223,7 +222,8 @@ def all_terms_docs(term_hits: DataFrame, terms: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- Q7 full text
 
-_WORD_SPLIT = "[^a-z0-9]+"
+#: What parts words: anything but letters, marks and digits of any script.
+_WORD_SPLIT = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def parse_websearch(q: str) -> list[list[tuple[bool, list[str]]]]:
@@ -243,7 +243,7 @@ def parse_websearch(q: str) -> list[list[tuple[bool, list[str]]]]:
             neg, text = bool(neg_q), phrase
         else:
             neg, text = word.startswith("-") and len(word) > 1, word.lstrip("-") if word.startswith("-") else word
-        words = [w for w in re.split(_WORD_SPLIT, text.lower()) if w]
+        words = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in text.lower()).split()
         if not words:
             continue
         if pending_or:
@@ -254,46 +254,28 @@ def parse_websearch(q: str) -> list[list[tuple[bool, list[str]]]]:
     return groups
 
 
-def text_tokens(anns: DataFrame, col: str = "pref") -> DataFrame:
-    """One row per (doc, annotation, position, word) of a label column."""
-    return anns.select("doc_id", "ann_no", F.posexplode(F.split(F.lower(F.col(col)), _WORD_SPLIT))
-                       .alias("pos", "word")).where(F.col("word") != "")
-
-
 def text_search(anns: DataFrame, docs: DataFrame, q: str, col: str = "pref") -> DataFrame:
     """Q7: doc ids whose ``col`` labels satisfy the web-search query ``q``.
 
-    Words are matched through a token table; a phrase must occur as
-    consecutive words of one label.  Per document only the query's own
-    literals are gathered (a set bounded by the query size), so no document's
-    annotations are ever collected in one place.
+    A word or phrase must occur as consecutive words of one label, so each
+    label is tested by itself in one scan and a document keeps one flag per
+    literal (a maximum, combined before the shuffle).  Words are runs of
+    letters and digits of any script; a query without words finds nothing.
     """
     groups = parse_websearch(q)
-    lits = {" ".join(w) for g in groups for _, w in g}
-    toks = text_tokens(anns, col)
-    found = None
-    for lit in sorted(lits):
-        words = lit.split(" ")
-        if len(words) == 1:
-            f = toks.where(F.col("word") == words[0]).select("doc_id")
-        else:
-            first = toks.where(F.col("word") == words[0]).select(
-                "doc_id", "ann_no", F.col("pos").alias("p0"))
-            for k, w in enumerate(words[1:], start=1):
-                nxt = toks.where(F.col("word") == w).select(
-                    "doc_id", "ann_no", (F.col("pos") - k).alias("p0"))
-                first = first.join(nxt, ["doc_id", "ann_no", "p0"], "left_semi")
-            f = first.select("doc_id")
-        f = f.distinct().withColumn("lit", F.lit(lit))
-        found = f if found is None else found.unionByName(f)
-    have = found.groupBy("doc_id").agg(F.collect_set("lit").alias("_have"))
-    d = docs.select("doc_id").distinct().join(have, "doc_id", "left") \
-        .withColumn("_have", F.coalesce("_have", F.array().cast("array<string>")))
+    lits = sorted({" ".join(w) for g in groups for _, w in g})
+    if not lits:
+        return docs.select("doc_id").distinct().where(F.lit(False))
+    # a label as its words between single blanks: each literal is one substring test, in one scan
+    label = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.col(col)), _WORD_SPLIT, " ")), F.lit(" "))
+    seen = (anns.select("doc_id", label.alias("_l"))
+            .groupBy("doc_id").agg(*[F.max(F.contains("_l", F.lit(f" {lit} "))).alias(f"_h{i}") for i, lit in enumerate(lits)]))
+    d = docs.select("doc_id").distinct().join(seen, "doc_id", "left")
     cond = F.lit(True)
     for g in groups:
         alt = F.lit(False)
         for neg, words in g:
-            c = F.array_contains("_have", " ".join(words))
+            c = F.coalesce(F.col(f"_h{lits.index(' '.join(words))}"), F.lit(False))
             alt = alt | (~c if neg else c)
         cond = cond & alt
     return d.where(cond).select("doc_id")
@@ -323,21 +305,18 @@ def date_filter(start: str, end: str, today: date | None = None) -> Column | Non
     return d.between(F.to_date(F.lit(s), "yyyyMMdd"), F.to_date(F.lit(e), "yyyyMMdd"))
 
 
-def id_filters(flt: Filter) -> list[Column]:
-    """Q12: SOP / Series / Study instance uid lists (``isin`` becomes an InSet)."""
-    out = []
-    for attr in ("sopinstanceuid", "seriesinstanceuid", "studyinstanceuid"):
-        v = list(getattr(flt, attr) or [])
-        if v:
-            out.append(F.col(attr).isin(v))
-    return out
+def id_filters(flt: Filter) -> list[tuple[str, list[str]]]:
+    """Q12: the SOP / Series / Study instance uid lists that are set."""
+    return [(a, v) for a in ("sopinstanceuid", "seriesinstanceuid", "studyinstanceuid") if (v := list(getattr(flt, a) or []))]
 
 
 def apply_filters(docs: DataFrame, flt: Filter, sep: str = "\\", today: date | None = None) -> DataFrame:
-    for c in [modality_filter(flt.modalities, sep), date_filter(flt.start_date, flt.end_date, today),
-              *id_filters(flt)]:
+    for c in [modality_filter(flt.modalities, sep), date_filter(flt.start_date, flt.end_date, today)]:
         if c is not None:
             docs = docs.where(c)
+    for attr, values in id_filters(flt):  # uploaded lists can be long: a semi-join, not a predicate
+        ids = docs.sparkSession.createDataFrame([(v,) for v in values], f"{attr} string")
+        docs = docs.join(ids, attr, "left_semi")
     return docs
 
 
@@ -378,7 +357,7 @@ def search(spark: SparkSession, docs: DataFrame, anns: DataFrame, query: SearchQ
         tokens = t.q if isinstance(t.q, list) else t.q.split(",")
         if used_cuis is None and all(re.match(CUI_RE, tok) for tok in tokens):
             continue  # a CUI always resolves (its closure holds itself): no text path
-        qual = t.negation != "Any" or t.experiencer != "Any" or _as_list(t.temporality) not in ([], ["Any"])
+        qual = t.sty is not None or t.negation != "Any" or t.experiencer != "Any" or _as_list(t.temporality) not in ([], ["Any"])
         if qual:
             txt = anns.where((F.col("pref") == q) & _term_qualifiers(t)).select("doc_id").distinct()
         else:
@@ -460,7 +439,12 @@ def mapping_table(mapping_rows: DataFrame) -> DataFrame:
 
 
 def anns_by_mapping(anns: DataFrame, mapping: DataFrame, map_name: str) -> DataFrame:
-    """Q23: keep mapped CUIs only, adding ``mapped`` term and ``mapping_name``."""
+    """Q23: keep mapped CUIs only, adding ``mapped`` term and ``mapping_name``.
+
+    A mapping that does not exist leaves all rows as they are (both columns null).
+    """
+    if mapping.where(F.col("map_name") == map_name).isEmpty():
+        return anns.withColumn("mapped", F.lit(None).cast("string")).withColumn("mapping_name", F.lit(None).cast("string"))
     m = mapping.where(F.col("map_name") == map_name).select(
         "cui", F.col("term").alias("mapped"), F.col("map_name").alias("mapping_name"))
     return anns.join(m, "cui")

@@ -56,7 +56,7 @@ occ as (select doc_id, ann_no, i - 1 as pos from occ0
     and {_wc("substr(str, 1, 1)")} <> (case when i > 1 then {_wc("substr(text, i - 1, 1)")} else false end)
     and {_wc("substr(str, length(str), 1)")} <> {_wc("substr(text, i + length(str), 1)")}),
 b2 as (select b.*, {_sl(_sl("b.text", "b.ss", "b.se"), "b.start_pos - b.ss", "b.end_pos - b.ss")} as in_sent from base b),
-b3 as (select b2.*, (lower(in_sent) <> lower(str)) as mismatch,
+b3 as (select b2.*, (lower(in_sent) <> lower(str) and {_sl("text", "start_pos", "end_pos")} <> str) as mismatch,
   (select arg_min(o.pos, abs(o.pos - b2.start_pos) * 100000000 + o.pos) from occ o where o.doc_id = b2.doc_id and o.ann_no = b2.ann_no) as best
   from b2),
 b4 as (select b3.*, case when mismatch and best is not null then best - start_pos else 0 end as off from b3),
@@ -75,7 +75,7 @@ b7 as (select b6.*,
 ctx as (select doc_id, ann_no, sent_no, start_pos, off, s_before, s_end,
   case anchor when -1 then pprv when 0 then prv else ctx end as ctx_prev,
   case anchor when 1 then nnxt when 0 then nxt else ctx end as ctx_next,
-  case when mismatch then str else in_sent end as str_orig,
+  case when lower({_sl("ctx", "start_pos - ss", "end_pos - ss")}) = lower(str) then {_sl("ctx", "start_pos - ss", "end_pos - ss")} else str end as str_orig,
   {_sl("text", None, "200")} as head, lower(text) as ltext, sent_no is not null as found from b7)
 """
 

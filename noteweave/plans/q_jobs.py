@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import jobs
 from ..sources import nlp_json
 from ..streaming.incremental import JobStatus, next_window, window_filter
+from ..sources.fixtures import cui_sql
 from . import inputs
 from .registry import register
 
@@ -97,14 +98,15 @@ ng as (select doc_id, s as start_pos, e as end_pos, m as ngram from w
   union all select a.doc_id, a.s, b.e, a.m || ' ' || b.m from w a join w b on a.doc_id = b.doc_id and b.i = a.i + 1
   union all select a.doc_id, a.s, c.e, a.m || ' ' || b.m || ' ' || c.m from w a join w b on a.doc_id = b.doc_id and b.i = a.i + 1
     join w c on c.doc_id = a.doc_id and c.i = a.i + 2),
-dic as (select distinct 'C' || lpad(cast(p_partkey as varchar(20)),7,'0') as cui, array_to_string(string_split_regex(lower(trim(p_name)), '\\s+'), ' ') as key from part)
-select ng.doc_id, ng.start_pos, ng.end_pos, ng.ngram as str, dic.cui from ng join dic on lower(ng.ngram) = dic.key""")
+dic as (select array_to_string(string_split_regex(lower(trim(p_name)), '\\s+'), ' ') as key, min(""" + cui_sql("p_partkey") + """) as cui,
+  cast(count(distinct p_partkey) as int) as n_cuis from part group by 1)
+select ng.doc_id, ng.start_pos, ng.end_pos, ng.ngram as str, dic.cui, dic.n_cuis from ng join dic on lower(ng.ngram) = dic.key""")
 def gazetteer_mentions(spark, sf_dir):
     """Part names as a label dictionary matched against the F4 notes."""
     labels = inputs.base(spark, sf_dir, "part").select(
-        F.concat(F.lit("C"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("cui"),
-        F.col("p_name").alias("label"))
-    return jobs.gazetteer(inputs.view(spark, sf_dir, "f_note").select("doc_id", "text"), labels)
+        F.expr(cui_sql("p_partkey")).alias("cui"), F.col("p_name").alias("label"))
+    m = jobs.gazetteer(inputs.view(spark, sf_dir, "f_note").select("doc_id", "text"), labels)
+    return m.select("doc_id", "start_pos", "end_pos", "str", F.col("cuis")[0].alias("cui"), F.size("cuis").alias("n_cuis"))
 
 
 _STATUS = JobStatus("success", datetime(2000, 1, 1), datetime(2024, 1, 15))

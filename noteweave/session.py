@@ -46,12 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting must point at shared storage and is read from
-    the session (or from a folder already set on the context).  Only when
-    neither is set (local tests) a scratch folder is made.
+    the session (or from a folder already set on the context); without it a
+    cluster job stops here.  Only a purely local master may go without: there
+    driver and executors are one process, so a scratch folder is shared.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="noteweave-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

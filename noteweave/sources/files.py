@@ -112,7 +112,7 @@ def read_mapping_files(spark: SparkSession, path: str) -> DataFrame:
     m = raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("map_name"),
                    F.posexplode(F.from_json("value", _MAPPING)).alias("t_no", "term", "entries"))
     return m.select("map_name", "term", "t_no", F.posexplode("entries").alias("e_no", "entry")) \
-        .select("map_name", (F.col("t_no") * 100000 + F.col("e_no")).alias("line_no"), "term", "entry")
+        .select("map_name", (F.col("t_no").cast("long") * (1 << 31) + F.col("e_no")).alias("line_no"), "term", "entry")
 
 
 def read_id_list(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", header: bool = True,

@@ -22,7 +22,7 @@ VIEWS: dict[str, str] = {}
 VIEWS["f_ann"] = """
 select l_orderkey as doc_id,
  cast(row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_shipdate) as int) as ann_no,
- 'C' || lpad(cast(l_partkey as varchar(20)),7,'0') as cui, p_name as str, upper(p_name) as pref, p_type as sty,
+ {cui:l_partkey} as cui, p_name as str, upper(p_name) as pref, p_type as sty,
  case when l_returnflag='R' then 'Negated' else 'Affirmed' end as negation,
  case when l_linestatus='F' and l_linenumber>=6 then 'Other' else 'Patient' end as experiencer,
  case when l_linenumber % 5=0 then 'historical' when l_linenumber % 7=0 then 'hypothetical' else 'Recent' end as temporality,
@@ -42,19 +42,19 @@ select o_orderkey as doc_id, '1.2.3.' || cast(o_orderkey as varchar(20)) as sopi
 
 # Study concepts for K*: three overlapping CUI sets, in study order.
 VIEWS["f_study"] = """
-select 1 as ord, 'even_key' as name, 'C' || lpad(cast(p_partkey as varchar(20)),7,'0') as cui from {t:part} where p_partkey % 2 = 0
-union all select 2, 'key_div3', 'C' || lpad(cast(p_partkey as varchar(20)),7,'0') from {t:part} where p_partkey % 3 = 0
-union all select 3, 'low_key', 'C' || lpad(cast(p_partkey as varchar(20)),7,'0') from {t:part} where p_partkey < 50
+select 1 as ord, 'even_key' as name, {cui:p_partkey} as cui from {t:part} where p_partkey % 2 = 0
+union all select 2, 'key_div3', {cui:p_partkey} from {t:part} where p_partkey % 3 = 0
+union all select 3, 'low_key', {cui:p_partkey} from {t:part} where p_partkey < 50
 """
 
 # Mapping file rows (S15): term -> entry, entry = CUI or CUI<tab>PREF<tab>STY;
 # a second term for every tenth part makes duplicate CUIs (later line wins).
 VIEWS["f_mapping"] = """
-select 'brands' as map_name, p_partkey as line_no, p_brand as term,
- case when p_partkey % 3 = 0 then 'C' || lpad(cast(p_partkey as varchar(20)),7,'0') || chr(9) || upper(p_name) || chr(9) || p_type
-      else 'C' || lpad(cast(p_partkey as varchar(20)),7,'0') end as entry
+select 'brands' as map_name, cast(p_partkey as bigint) as line_no, p_brand as term,
+ case when p_partkey % 3 = 0 then {cui:p_partkey} || chr(9) || upper(p_name) || chr(9) || p_type
+      else {cui:p_partkey} end as entry
  from {t:part}
-union all select 'brands', 100000 + p_partkey, 'size ' || cast(p_size as varchar(10)), 'C' || lpad(cast(p_partkey as varchar(20)),7,'0')
+union all select 'brands', 1000000000000 + p_partkey, 'size ' || cast(p_size as varchar(10)), {cui:p_partkey}
  from {t:part} where p_partkey % 10 = 0
 """
 
@@ -63,13 +63,18 @@ VIEWS["f_reviewed"] = """
 select l_orderkey as doc_id,
  l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_shipdate) as row_no,
  cast(l_linenumber*12 as int) as start_pos, cast(l_linenumber*12+length(p_name) as int) as end_pos,
- p_name as string_orig, 'C' || lpad(cast(l_partkey as varchar(20)),7,'0') as cui, p_type as label,
+ p_name as string_orig, {cui:l_partkey} as cui, p_type as label,
  case when l_discount < 0.05 then 'Yes' else 'No' end as correct,
  case when l_returnflag = 'R' then 'Negated' else 'NOT Negated' end as negation,
  case when l_orderkey % 8 = 0 then 'Yes' else 'No' end as skip_document
  from {t:lineitem} join {t:part} on l_partkey = p_partkey
 """
 
+# Orders dealt over all parts (part keys run from 0)
+VIEWS["f_order"] = """
+select *, o_orderkey % (select max(p_partkey) + 1 from {t:part}) as part_no from {t:orders}
+"""
+
 # F2 tagged reports with injected identifiers
 VIEWS["f_report"] = """
 select o_orderkey as doc_id,
@@ -80,19 +85,19 @@ select o_orderkey as doc_id,
  || 'Mail a' || cast(o_orderkey as varchar(20)) || '@clinic.example.org. The 69M patient, 46 yo, GMC: ' || lpad(cast(o_custkey as varchar(20)),7,'3') || ' , flat at IV2 3UJ' || chr(10)
  || 'No evidence of ' || p_name || '. Mother has ' || p_name || '. Query ' || p_name || '? Referred by  Dell, Michael (Cons)' || chr(10)
  || replace(c_name,'#',' ') || 'son was reviewed at Raigmore Hospital, Inverness.' || chr(10) as text
- from {t:orders} join {t:customer} on o_custkey=c_custkey join {t:part} on p_partkey = o_orderkey % 200
+ from f_order join {t:customer} on o_custkey=c_custkey join {t:part} on p_partkey = part_no
 """
 
 # F3 ontology sources (MRREL, MRCONSO, MRSTY stand-ins)
 VIEWS["f_edge"] = """
-select 'C' || lpad(cast(cast(floor((p_partkey-1)/3) as int) as varchar(20)),7,'0') as cui1, case when p_partkey % 4=0 then 'CHD' else 'RN' end as rel,
- 'C' || lpad(cast(p_partkey as varchar(20)),7,'0') as cui2, case when p_partkey % 5=0 then 'MSH' when p_partkey % 2=0 then 'MTH' else 'SNOMEDCT_US' end as sab from {t:part} where p_partkey>0
- union all select 'C' || lpad(cast(p_partkey as varchar(20)),7,'0'),'RN','C' || lpad(cast(cast(floor(p_partkey/50) as int) as varchar(20)),7,'0'),'MTH' from {t:part} where p_partkey % 10=0
- union all select 'C' || lpad(cast(cast(floor((p_partkey-1)/3) as int) as varchar(20)),7,'0'),'PAR','C' || lpad(cast(p_partkey as varchar(20)),7,'0'),'MTH' from {t:part} where p_partkey % 11=0 and p_partkey>0
+select {cui:cast(floor((p_partkey-1)/3) as int)} as cui1, case when p_partkey % 4=0 then 'CHD' else 'RN' end as rel,
+ {cui:p_partkey} as cui2, case when p_partkey % 5=0 then 'MSH' when p_partkey % 2=0 then 'MTH' else 'SNOMEDCT_US' end as sab from {t:part} where p_partkey>0
+ union all select {cui:p_partkey},'RN',{cui:cast(floor(p_partkey/50) as int)},'MTH' from {t:part} where p_partkey % 10=0
+ union all select {cui:cast(floor((p_partkey-1)/3) as int)},'PAR',{cui:p_partkey},'MTH' from {t:part} where p_partkey % 11=0 and p_partkey>0
 """
 
 VIEWS["f_conso"] = """
-select p_partkey*3+k as line_no, 'C' || lpad(cast(p_partkey as varchar(20)),7,'0') as cui,
+select p_partkey*3+k as line_no, {cui:p_partkey} as cui,
  case when (p_partkey+k) % 7=0 then 'FRE' else 'ENG' end as lat, case when k=0 then 'P' else 'S' end as ts, case when k<2 then 'PF' else 'VO' end as stt,
  case when (p_partkey+k) % 3=0 then 'N' else 'Y' end as ispref, case when k=1 then 'SNOMEDCT_US' when k=2 then 'MTH' else 'NCI' end as sab,
  cast(10000000 + (p_partkey*k) % 150 as varchar(20)) as code, p_name || ' ' || cast(k as varchar(5)) as str
@@ -100,8 +105,8 @@ select p_partkey*3+k as line_no, 'C' || lpad(cast(p_partkey as varchar(20)),7,'0
 """
 
 VIEWS["f_sty"] = """
-select p_partkey*2 as line_no, 'C' || lpad(cast(p_partkey as varchar(20)),7,'0') as cui, 'T' || lpad(cast(p_size as varchar(20)),3,'0') as tui from {t:part}
- union all select p_partkey*2+1, 'C' || lpad(cast(p_partkey as varchar(20)),7,'0'), 'T' || lpad(cast((p_size*7) % 50 + 1 as varchar(20)),3,'0') from {t:part} where p_partkey % 4=0
+select p_partkey*2 as line_no, {cui:p_partkey} as cui, 'T' || lpad(cast(p_size as varchar(20)),3,'0') as tui from {t:part}
+ union all select p_partkey*2+1, {cui:p_partkey}, 'T' || lpad(cast((p_size*7) % 50 + 1 as varchar(20)),3,'0') from {t:part} where p_partkey % 4=0
 """
 
 # Semantic groups (SemGroups stand-in): group = first digit of the tui number.
@@ -135,7 +140,7 @@ select o_orderkey as doc_id, tid, prev_s || ' ' || before_s || mention || after_
  cast(length(prev_s)+2+length(before_s)+length(mention)+length(after_s) as int) as s2,
  cast(length(prev_s)+2+length(before_s)+length(mention)+length(after_s)+length(next_s) as int) as e2,
  cast(length(prev_s)+1+length(before_s) as int) as m_start, cast(length(prev_s)+1+length(before_s)+length(mention) as int) as m_end
- from {t:orders} join f_tmpl on tid = o_orderkey % 12 join (select p_partkey, case when p_partkey % 13=0 then 'CVA' when p_partkey % 17=0 then 'ABC' else p_name end as mention from {t:part}) p on p_partkey = o_orderkey % 200
+ from f_order join f_tmpl on tid = o_orderkey % 12 join (select p_partkey, case when p_partkey % 13=0 then 'CVA' when p_partkey % 17=0 then 'ABC' else p_name end as mention from {t:part}) p on p_partkey = part_no
 """
 
 # F4 in the annotation/sentence table shapes (M7, M9): three sentences and one
@@ -147,13 +152,14 @@ union all select doc_id, 3, s2, e2 from f_note
 """
 
 VIEWS["f_note_ann"] = """
-select doc_id, 1 as ann_no, mention as str, 'C' || lpad(cast(tid as varchar(20)),7,'0') as cui,
+select doc_id, 1 as ann_no, mention as str, {cui:tid} as cui,
  case when doc_id % 6 = 0 then m_start + 2 else m_start end as start_pos,
  case when doc_id % 6 = 0 then m_end + 2 else m_end end as end_pos
  from f_note
 """
 
 _REF = re.compile(r"\{t:(\w+)\}")
+_CUI = re.compile(r"\{cui:([^}]+)\}")
 _DEPS = re.compile(r"\b(f_\w+)\b")
 
 
@@ -166,8 +172,14 @@ def _deps(name: str, seen: list[str]) -> list[str]:
     return seen
 
 
+def cui_sql(key: str) -> str:
+    """'C' and the key, in seven digits or as many as it has (both engines)."""
+    k = f"cast({key} as varchar(20))"
+    return f"('C' || case when length({k}) >= 7 then {k} else lpad({k}, 7, '0') end)"
+
+
 def _render(sql: str, table_ref) -> str:
-    return _REF.sub(lambda m: table_ref(m.group(1)), sql)
+    return _REF.sub(lambda m: table_ref(m.group(1)), _CUI.sub(lambda m: cui_sql(m.group(1)), sql))
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

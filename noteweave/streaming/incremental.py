@@ -45,30 +45,24 @@ def window_filter(df: DataFrame, ts_col: str, start: datetime, end: datetime) ->
 
 
 def run_increment(spark: SparkSession, source_dir: str, schema: T.StructType, sink_dir: str,
-                  checkpoint_dir: str, transform=None, fail: bool = False) -> int:
+                  checkpoint_dir: str, transform=None) -> int:
     """Process new files of ``source_dir`` once (availableNow) into ``sink_dir`` (parquet).
 
     ``transform`` maps the stream (e.g. a window filter or the annotation
-    pipeline).  ``fail=True`` makes the batch fail after reading, to show
-    that the same files are processed again on the next run.  Returns the
-    number of rows committed by this run.
+    pipeline).  A batch overwrites its own folder ``batch=<id>``: if the run
+    dies after the write and before the commit, the retry has the same id and
+    files and replaces what was written, so each row ends up there once.
+    Returns the number of input rows of the committed batches, as the
+    stream's own progress reports them.
     """
     stream = spark.readStream.schema(schema).parquet(source_dir)
     if transform is not None:
         stream = transform(stream)
-    committed = {"n": 0}
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if fail:
-            raise RuntimeError("forced failure")
-        batch.write.mode("append").parquet(os.path.join(sink_dir, f"batch={batch_id}"))
-        committed["n"] += batch.count()
+        batch.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch={batch_id}"))
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
-    try:
-        q.awaitTermination()
-    except Exception:  # noqa: BLE001 -- the failed run is reported by the caller
-        if not fail:
-            raise
-    return committed["n"]
+    q.awaitTermination()
+    return sum(p["numInputRows"] for p in q.recentProgress)

@@ -74,3 +74,13 @@ def test_unified_view_with_phenotypes(spark):
     assert v == {(1, 1): ("umls", "PREF A"), (1, 2): ("customised", "stroke"), (2, 1): ("customised", "cva")}
     kept = {(r.doc_id, r.idx) for r in display.remove_overlaps(display.unify(m, p)).collect()}
     assert kept == {(1, 2), (2, 1)}  # (1,1) spans 0-5, (1,2) spans 2-9: the longer one stays
+
+
+def test_closure_deeper_than_any_cap(spark):
+    import pytest
+    edges = spark.createDataFrame([(f"C{i}", f"C{i + 1}") for i in range(60)], "cui1 string, cui2 string")
+    roots = spark.createDataFrame([("C0",)], "root string")
+    assert ontology.narrower_closure(edges, roots).count() == 61
+    assert ontology.narrower_closure(edges, roots, depth=7).count() == 8
+    with pytest.raises(ValueError):
+        ontology.narrower_closure(edges, roots, same_group=True)

@@ -32,3 +32,31 @@ def test_text_terms(spark):
     b = search.text_search(anns, docs, "bolt")
     want = docs.join(a, "doc_id", "left_semi").join(b, "doc_id", "left_semi")
     assert got == _ids(want, "sopinstanceuid")
+
+
+def _anns(spark, rows):
+    return spark.createDataFrame([(d, 1, "C1", p, p, t, "Affirmed", "Patient", "Recent") for d, p, t in rows],
+                                 "doc_id long, ann_no int, cui string, str string, pref string, sty string, negation string, experiencer string, temporality string")
+
+
+def test_words_of_any_script_and_empty_queries(spark):
+    anns = _anns(spark, [(1, "Бронхиальная астма", "T1"), (2, "café-au-lait spot", "T1"), (3, "asthma", "T1")])
+    find = lambda q: sorted(r.doc_id for r in search.text_search(anns, anns, q).collect())
+    assert find("астма") == [1] and find("café") == [2] and find('"au lait"') == [2] and find("caf") == []
+    assert find("...") == [] and find("") == []
+    assert find("asthma or астма") == [1, 3] and find("-asthma") == [1, 2]
+
+
+def test_semantic_type_of_a_text_term(spark):
+    docs = inputs.documents(spark, SF)
+    ids = [r.doc_id for r in docs.select("doc_id").orderBy("doc_id").limit(2).collect()]
+    anns = _anns(spark, [(ids[0], "asthma", "T1"), (ids[1], "asthma", "T2")])
+    got = search.search(spark, docs, anns, SearchQuery([Term("asthma", sty="T1")]), modality_sep="|")
+    assert got.count() == 1
+
+
+def test_unknown_mapping_leaves_rows(spark):
+    anns = _anns(spark, [(1, "asthma", "T1")])
+    mapping = spark.createDataFrame([("m", "C9", "x")], "map_name string, cui string, term string")
+    assert [r.mapped for r in search.anns_by_mapping(anns, mapping, "nowhere").collect()] == [None]
+    assert search.anns_by_mapping(anns, mapping, "m").count() == 0
