@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
@@ -109,6 +109,22 @@ def annotate(df: DataFrame, text_col: str, make, fields: list[tuple[str, str]],
     return df.mapInArrow(run, schema)
 
 
+def lowest_by_hash(rows: DataFrame, key: str, id_col: str, most: int, sizes: dict) -> DataFrame:
+    """The ``most`` rows of each key whose ids hash lowest, given the number of rows of each (few) key.
+
+    A key of very many rows is first cut to about twice as many by the hash itself, so the ranking never
+    sees more, however large the key; the rows cut off could not have been among the lowest.
+    """
+    top = 1 << 40
+    cut = F.lit(top)
+    for k, n in sizes.items():
+        if n > 2 * most + 100:
+            cut = F.when(F.col(key) == k, F.lit(int(top * (2 * most + 100) / n))).otherwise(cut)
+    low = rows.withColumn("_hash", F.pmod(F.xxhash64(id_col), F.lit(top))).filter(F.col("_hash") < cut)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("_hash", id_col))
+    return low.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_hash", "_rank")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """(text, y) of at most ``per_class`` training documents of each label, and the number of labels of each.
 
@@ -119,8 +135,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (fold("id", mod) != 0)).groupBy("id").agg(F.max("y").alias("y"))
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    parts = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
-    some = parts[0].unionByName(parts[1])
+    some = lowest_by_hash(rows, "y", "id", per_class, sizes)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.join(F.broadcast(some), "id").select("id", "text", "y"), sizes
 

@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import annotate, shared_dir, ship, stored
+from .common import annotate, lowest_by_hash, shared_dir, ship, stored
 
 U64 = np.uint64
 BUCKETS = 1 << 14
@@ -70,8 +70,8 @@ class Domains:
 def train(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> Domains:
     """From at most PER_DOMAIN documents of each domain; of several domains of an id the least counts."""
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col("domain").cast("string").alias("domain")).dropna().groupBy("id").agg(F.min("domain").alias("domain"))
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("id"), "id"))
-    some = rows.withColumn("rank", rank).filter(F.col("rank") <= PER_DOMAIN).drop("rank")
+    sizes = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}  # a row per domain
+    some = lowest_by_hash(rows, "domain", "id", PER_DOMAIN, sizes)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     got = texts.join(some, "id").select("id", "text", "domain").toPandas().sort_values(["id", "text"])
     return Domains([t.encode() for t in got["text"]], got["domain"].tolist())
