@@ -105,9 +105,12 @@ def sentence_neighbours(sentences: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- C5-C8
 
 def context_frame(mentions: DataFrame, sentences: DataFrame, docs: DataFrame,
-                  cut_off_literals: Sequence[str] = ()) -> DataFrame:
+                  cut_off_literals: Sequence[str] = (), head_rules: Sequence[ContextRule] = ()) -> DataFrame:
     """Per mention the strings the rules look at.
 
+    ``head_rules`` (C14) are evaluated here, once per document; ``head_hits``
+    holds their results in order.
+
     Columns added: ``sent_no``, ``offset`` (relocation delta, C5), ``str_orig``,
     ``s_before``, ``s_end`` (C6/C7), ``ctx_prev``/``ctx_next`` (C8, null when
     absent), ``head`` (C14), ``cut_pos`` (1-based first position of each
@@ -120,6 +123,8 @@ def context_frame(mentions: DataFrame, sentences: DataFrame, docs: DataFrame,
     d = docs.select("doc_id", "text",
                     py_slice(F.col("text"), 0, HEAD_CHARS).alias("head"),
                     (F.array(*lits) if lits else F.array().cast("array<int>")).alias("cut_pos"))
+    hits = [F.coalesce(F.col("head").rlike(java_match(r.wrapped(), r.case_sensitive)), F.lit(False)) for r in head_rules]
+    d = d.withColumn("head_hits", F.array(*hits) if hits else F.array().cast("array<boolean>"))
     m = (mentions.join(ms, ["doc_id", "ann_no"], "left")
          .join(nbr.withColumnRenamed("start_pos", "sent_start").withColumnRenamed("end_pos", "sent_end"),
                ["doc_id", "sent_no"], "left")
@@ -206,7 +211,8 @@ def rule_hit(rule: ContextRule) -> Column:
 def verdict(cfg: ContextConfig, cut_rules: Sequence[tuple[ContextRule, list[int]]]) -> Column:
     """``ruled_by`` with precedence original-string > skip terms > cut-off > rule list."""
     list_rules = [r for r in cfg.rules if r.offset != -100]
-    names = [F.when(rule_hit(r), F.lit(r.name)) for r in list_rules]
+    heads = head_rules(cfg)
+    names = [F.when(F.col("head_hits")[heads.index(r)] if r in heads else rule_hit(r), F.lit(r.name)) for r in list_rules]
     listed = F.array_distinct(F.filter(F.array(*names), lambda x: x.isNotNull())) if names \
         else F.array().cast("array<string>")
     out = listed
@@ -227,6 +233,11 @@ def verdict(cfg: ContextConfig, cut_rules: Sequence[tuple[ContextRule, list[int]
     return out
 
 
+def head_rules(cfg: ContextConfig) -> list[ContextRule]:
+    """C14: the list rules that look at the head of the document."""
+    return [r for r in cfg.rules if r.offset == 0]
+
+
 def cut_off_plan(cfg: ContextConfig) -> tuple[list[str], list[tuple[ContextRule, list[int]]]]:
     lits: list[str] = []
     plan = []
@@ -245,15 +256,19 @@ def apply_context_rules(mentions: DataFrame, sentences: DataFrame, docs: DataFra
     """Add ``ruled_by`` (and the context columns) to every mention in scope.
 
     ``in_scope`` (C17) selects the mentions that are ruled (e.g. study
-    mentions); others and mentions with no sentence get an empty list.
+    mentions): only they are joined with sentences and texts.  The others, and
+    mentions with no sentence, keep their list (empty if they had none); the
+    others' context columns are null.
     """
+    old = F.col("ruled_by") if "ruled_by" in mentions.columns else F.array().cast("array<string>")
+    if in_scope is not None:
+        scope = F.coalesce(in_scope, F.lit(False))
+        rest = mentions.where(~scope).withColumn("ruled_by", old)
+        return apply_context_rules(mentions.where(scope), sentences, docs, cfg).unionByName(rest, allowMissingColumns=True)
     lits, plan = cut_off_plan(cfg)
-    m = mentions if in_scope is None else mentions.withColumn("_scope", in_scope)
-    c = context_frame(m, sentences, docs, lits)
+    c = context_frame(mentions, sentences, docs, lits, head_rules(cfg))
     rb = verdict(cfg, plan)
-    ok = F.col("found") & (F.col("_scope") if in_scope is not None else F.lit(True))
-    old = F.col("ruled_by") if "ruled_by" in mentions.columns else F.array().cast("array<string>")
-    return c.withColumn("ruled_by", F.when(ok, F.array_distinct(F.concat(old, rb))).otherwise(old))
+    return c.withColumn("ruled_by", F.when(F.col("found"), F.array_distinct(F.concat(old, rb))).otherwise(old))
 
 
 def char_window_rules(mentions: DataFrame, docs: DataFrame, cfg: ContextConfig,

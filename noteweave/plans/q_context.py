@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.rules import ContextConfig, load_context_config
@@ -148,6 +150,32 @@ _rule_query("rule_abbrev", ["s_abbr.json"], None)
 _rule_query("rule_verdict", ACTIVE, SKIP)
 
 
+_NEG_CFG = load_context_config(["negation_filters.json"], None)
+
+
+@register("rule_scope", f"""with {_CTX_SQL}
+select doc_id, ann_no, case when doc_id % 3 = 0 then {_verdict_sql(_NEG_CFG)} else '' end as ruled_by from ctx""")
+def rule_scope(spark, sf_dir):
+    """C17: only the mentions of every third document are ruled; the others keep an empty list."""
+    anns, sents, docs = _frames(spark, sf_dir)
+    r = context.apply_context_rules(anns, sents, docs, _NEG_CFG, in_scope=F.col("doc_id") % 3 == 0)
+    return r.select("doc_id", "ann_no", F.array_join("ruled_by", "|").alias("ruled_by"))
+
+
+_OSF = ["[A-Z]{3}$", "red\\b"]
+_OSF_CFG = replace(_NEG_CFG, osf_patterns=_OSF)
+
+
+@register("rule_original_string", f"""with {_CTX_SQL}
+select doc_id, ann_no, case when found and regexp_matches(str_orig, '^(?:{"|".join(_OSF)})') then 'original-string-rule'
+  else {_verdict_sql(_NEG_CFG)} end as ruled_by from ctx""")
+def rule_original_string(spark, sf_dir):
+    """Patterns over the mention's own string come before all other rules."""
+    anns, sents, docs = _frames(spark, sf_dir)
+    r = context.apply_context_rules(anns, sents, docs, _OSF_CFG)
+    return r.select("doc_id", "ann_no", F.array_join("ruled_by", "|").alias("ruled_by"))
+
+
 @register("sentence_of_mention", f"with {_CTX_SQL} select b.doc_id, b.ann_no, b.sent_no, b.ps is not null as has_prev, b.ns is not null as has_next from base b")
 def sentence_of_mention(spark, sf_dir):
     """The mention's sentence and whether it has neighbours."""
