@@ -41,10 +41,10 @@ class Limits(NamedTuple):
     """Sizes that bound memory; the result does not depend on them."""
 
     #: Bytes of a shard, and bytes scanned at once.
-    shard: int = SHARD_BYTES
-    segment: int = 1 << 20
+    shard: int = SHARD_BYTES // 2
+    segment: int = 1 << 17
     #: Symbols merged at once; runs of different minimizers need no common merge.
-    merge: int = 1 << 20
+    merge: int = 1 << 18
     #: Different runs of a minimizer beyond which its strings are filed one by one.
     hot: int = 4096
 
@@ -56,7 +56,8 @@ NONE = np.iinfo(np.int64).max
 
 
 def coded(h: np.ndarray, parts: int) -> np.ndarray:
-    """Partition and 40-bit key of a hash in one number."""
+    """Partition and 40-bit key of a hash in one number; mixed anew, as minimizers are the low hashes."""
+    h = K.mix(h + U64(0x9E3779B97F4A7C15))
     return ((((h >> U64(32)) * U64(parts)) >> U64(32)) << KEY_BITS) | (h & KEY_MASK)
 
 
@@ -132,7 +133,9 @@ class Shard:
         ids = rows.column(id_col).cast(pa.int64())
         self.named = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy()
-        code, whole, start, count, text = runs(self.data, self.ends, length, parts, segment)
+
+    def scan(self) -> None:
+        code, whole, start, count, text = runs(self.data, self.ends, self.length, self.parts, self.segment)
         ok = self.named[text]
         self.code, self.whole, self.start, self.count, self.text = (x[ok] for x in (code, whole, start, count, text))
 
@@ -158,6 +161,10 @@ class Shard:
         ok = np.zeros(len(self.code), bool)
         ok[order] = np.repeat(flags, np.diff(np.r_[first, len(order)]))
         self.code, self.whole, self.start, self.count, self.text = (x[ok] for x in (self.code, self.whole, self.start, self.count, self.text))
+
+    def use(self, kept: list[np.ndarray]) -> None:
+        """The shared runs, as stored after round 1."""
+        self.code, self.whole, self.start, self.count, self.text = kept
         # distinct runs: their codes, hashes, an occurrence, and the run of each occurrence
         order, first = grouped(self.code, self.whole)
         self.run_code, self.run_hash, self.run_at = self.code[order][first], self.whole[order][first], order[first]
@@ -285,38 +292,46 @@ def merged_intervals(text: np.ndarray, sizes: np.ndarray, source: np.ndarray, le
     n = len(text)
     ends = np.cumsum(sizes + 1)
     begin = ends - sizes - 1
-    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
     after[ends - 1], before[begin] = begin, ends - 1  # strings are read around
 
-    # the transform of each source: its own rotations in order, by doubling
-    owner = np.repeat(source, sizes + 1)
+    # the transform of each source: its own rotations in order, by doubling among those not yet parted
+    number = np.cumsum(np.r_[False, source[1:] != source[:-1]])
+    owner = np.repeat(number.astype(np.uint16 if number[-1] < 1 << 16 else np.int64), sizes + 1)
     rank, ahead = text.astype(U64), after
     for bits in (8, 16, 32):
         rank = (rank << U64(bits)) | rank[ahead]
         ahead = ahead[ahead]
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     order = order[np.argsort(owner[order], kind="stable")]
-    parted = 0
+    key, who = rank[order], owner[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])]
+    rank = np.empty(n, np.int64)
     while True:
-        key, who = rank[order], owner[order]
-        number = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (who[1:] != who[:-1])])
-        if number[-1] in (n - 1, parted):
-            break  # all are parted, or equal strings of one source remain
-        parted = number[-1]
-        rank = np.empty(n, U64)
-        rank[order] = number.astype(U64)
-        rank = (rank << U64(32)) | rank[ahead]
-        order, ahead = np.argsort(rank, kind="stable"), ahead[ahead]
-    order = order.astype(np.int32)
-
-    row = np.empty(n, np.int32)
-    row[order] = np.arange(n, dtype=np.int32)
+        first = np.flatnonzero(new)
+        group = np.repeat(first, np.diff(np.r_[first, n]))  # a rank never changes once its rotation is alone
+        rank[order] = group
+        same = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        if not len(same):
+            break
+        place = order[same]
+        pair = (group[same].astype(U64) << U64(32)) | rank[ahead[place]].astype(U64)
+        move = np.argsort(pair)
+        order[same], pair = place[move], pair[move]
+        parted = np.r_[True, pair[1:] != pair[:-1]]
+        if np.count_nonzero(parted) == np.count_nonzero(new[same]):
+            break  # equal strings of one source: no symbol parts them
+        new[same] = parted
+        ahead = ahead[ahead]
+
+    row = np.empty(n, np.int64)
+    row[order] = np.arange(n)
     symbol = text[before[order]]  # the transforms, one source after another
     last = row[before[order]]  # LF mapping, within each source
     pair = (symbol[last].astype(np.uint16) << np.uint16(8)) | symbol
     twice = last[last]
 
-    rows = np.arange(n, dtype=np.int32)  # the interleave: rows of all sources in merged order
+    rows = np.arange(n)  # the interleave: rows of all sources in merged order
     block = np.zeros(n, np.int32)
     prefix = np.full(n, length, np.int32)
     depth = 0
@@ -411,32 +426,38 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     shards = Shards(docs, text_col, shared_dir(spark), parts, limits.shard)
 
-    def shard(rows, answers):
+    def shard(rows, answers=()):
         s = Shard(rows, id_col, text_col, length, parts, limits.segment)
-        if answers:
-            s.keep_shared(answers[0])
-        if answers[1:]:
-            s.make_units(answers[1])
+        if not answers:
+            s.scan()
+        for step, got in zip((lambda a: s.use(a[0]), s.make_units), answers):
+            step(got)
         return s
 
-    one = shards.ask("shared", [], lambda rows, a: shard(rows, a).ask_shared(), answer_shared)
-    two = shards.ask("owners", [one], lambda rows, a: shard(rows, a).ask_owners(), lambda m: answer_owners(m, limits.hot))
-    three = shards.ask("intervals", [one, two], lambda rows, a: shard(rows, a).ask_intervals(), lambda m: answer_intervals(m, length, limits.merge))
+    def shared_runs(rows, answers):
+        s = shard(rows)
+        s.keep_shared(answers[0])
+        return pack(s.code, s.whole, s.start, s.count, s.text)
+
+    one = shards.ask("shared", [], lambda rows, _: shard(rows).ask_shared(), answer_shared)
+    kept = shards.derive("runs", [one], shared_runs)
+    two = shards.ask("owners", [kept], lambda rows, a: shard(rows, a).ask_owners(), lambda m: answer_owners(m, limits.hot))
+    three = shards.ask("intervals", [kept, two], lambda rows, a: shard(rows, a).ask_intervals(), lambda m: answer_intervals(m, length, limits.merge))
     schema = T.StructType([*docs.schema.fields, T.StructField(names["kept"], T.StringType() if as_text else T.BinaryType()), T.StructField(names["spans"], T._parse_datatype_string("array<struct<start:long,stop:long>>"))])
 
     def make(rows, answers):
-        s = shard(rows, answers)
+        s = shard(rows, answers[:2])
         gone = s.removed(answers[2])
-        kept, spans = [], []
+        left, spans = [], []
         for a, z in zip(np.r_[0, s.ends[:-1]].tolist(), s.ends.tolist()):
             own = gone[a:z]
             turn = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
             rest = s.data[a:z][~own].tobytes()
-            kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
+            left.append(rest.decode("utf-8", "ignore") if as_text else rest)
             spans.append([{"start": x, "stop": y} for x, y in zip(turn[::2].tolist(), turn[1::2].tolist())])
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], schema.names)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(left, pa.string() if as_text else pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], schema.names)
 
-    return shards.finish([one, two, three], make, schema)
+    return shards.finish([kept, two, three], make, schema)
 
 
 def repeat_digest(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes handled at once (one text may be longer); keeps temporaries small.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = (1 << 19) - 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -58,7 +58,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 table = np.concatenate([table, table * U64(pow(base, len(table), 1 << 64))])
             out.append(table)
         have = tuple(out)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _TABLES["powers"] = have
     return have
 
@@ -120,10 +120,6 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:n]) * down[:n])
 
 
-def lengths_to_ends(counts: np.ndarray) -> np.ndarray:
-    return np.cumsum(counts)
-
-
 def count_by_text(numbers: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(numbers, minlength=n)
 

@@ -125,6 +125,19 @@ class Shards:
         release(self.spark)
         return table
 
+    def derive(self, name: str, answers: list[DataFrame], make: Callable) -> DataFrame:
+        """One message of each shard to itself, kept like answers (under partition 0)."""
+        rounds = len(answers)
+
+        def run(batches):
+            for b in batches:
+                held = [b.column(f"a{i}").to_pylist() for i in range(rounds)]
+                for k, (shard, data) in enumerate(zip(b.column("shard").to_pylist(), b.column("rows").to_pylist())):
+                    own = [{"part": 0, "message": make(bytes_to_rows(data), [of(h[k]) for h in held])}]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([own], pa.list_(pa.struct([("part", pa.int32()), ("message", pa.binary())])))], ["shard", "answers"])
+
+        return self.stored(self.joined(answers).mapInArrow(run, "shard long, answers array<struct<part:int,message:binary>>"), name)
+
     def finish(self, answers: list[DataFrame], make: Callable, schema) -> DataFrame:
         """Rows from each shard and all its answers."""
         rounds = len(answers)
