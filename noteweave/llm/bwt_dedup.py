@@ -44,7 +44,7 @@ class Limits(NamedTuple):
     shard: int = SHARD_BYTES // 2
     segment: int = 1 << 17
     #: Symbols merged at once; runs of different minimizers need no common merge.
-    merge: int = 1 << 18
+    merge: int = 1 << 16
     #: Different runs of a minimizer beyond which its strings are filed one by one.
     hot: int = 4096
 
