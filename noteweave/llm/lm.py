@@ -1,18 +1,20 @@
 """Operator 2: text scores of a hashed maximum-entropy model with a class-factored softmax.
 
 P(token | text before it) = P(group of its class | features) x P(class | group, features)
-x P(token | its class).
+x P(token | its class, the word before).
 
 Classes: the most frequent words have one each, so has the end of a text; every other
 word, known or not, falls into a class by its last bytes.  Inside a class a word's
 probability is its discounted count, and the discounts together are the probability of
 an unknown word there; so everything sums to 1 over known words and one unknown word a
-class.  The features of a token are the word before it, the two words before it (n-grams)
+class.  That share is the prior of the word's share among the words of its class that follow
+the word before it, counted over all training texts; so these counts grow with the corpus,
+while the softmax over the classes has a fixed size.  The features of a token are the word before it, the two words before it (n-grams)
 and skips (the second word before alone, the third and the first), hashed to a fixed
 number of rows of weights.
 
-Counts come from all training texts: shards send their distinct words to partitions of
-the words' hashes and get the totals back.  Weights are trained in one pass over all
+Counts come from all training texts: shards send their distinct words, and then their
+distinct pairs of words, to partitions of the hashes and get the totals back.  Weights are trained in one pass over all
 training texts in a few rounds; in each, tasks take gradient steps on their texts, and
 their updates are averaged, row by row, in as many stripes as there are.  Texts are
 scored in batches of tokens that gather only the rows their features name.
@@ -43,6 +45,8 @@ GROUPS = 8
 ROWS = 1 << 15
 STRIPE = 1 << 10
 ROUNDS, STEP, RATE = 3, 16384, 0.2
+#: Tokens that the class's own shares count for against those seen after the word before.
+PRIOR = 4.0
 #: Text bytes that a partition of the vocabulary stands for, at most.
 PARTITION_BYTES = 64 << 20
 PIECE = 1 << 19
@@ -207,6 +211,66 @@ def count_answer(messages: list[bytes]):
         yield pack(own, *extra)
 
 
+def by_partition(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of each key; ascending if the keys are."""
+    return ((keys >> U64(32)) * U64(parts)) >> U64(32)
+
+
+def pair_keys(word: np.ndarray, place: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens that share their class; of each, hashes of (word before, class, word) and (word before, class)."""
+    before = np.full(len(word), START)
+    before[1:] = word[:-1]
+    before[place < 1] = START
+    own = np.flatnonzero((kind >= FREQUENT) & (kind != END_CLASS))
+    context = K.mix(K.mix(before[own] + U64(6)) + kind[own].astype(U64))
+    return own, K.mix(context * U64(0x9E3779B97F4A7C15) + word[own]), context
+
+
+def counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and their sums."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def small(n: np.ndarray) -> np.ndarray:
+    return n.astype(np.min_scalar_type(int(n.max(initial=0))))
+
+
+def pair_counts(rows: pa.RecordBatch, v: Vocabulary, mod: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a shard's pairs and contexts, with their counts in its training texts."""
+    train = ~held_out(rows.column("doc_id").to_pylist(), mod)
+    keys, n = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for i, j, _, _, text, place, kind, word in token_stream(rows, v):
+        own, pair, context = pair_keys(word, place, kind)
+        u, c = counted(np.concatenate([pair, context]), np.tile(train[i:j][text[own]], 2).astype(np.int64))
+        keys.append(u)
+        n.append(c)
+    return (keys[1], n[1]) if len(keys) == 2 else counted(np.concatenate(keys), np.concatenate(n))
+
+
+def pair_message(rows: pa.RecordBatch, v: Vocabulary, parts: int, mod: int):
+    u, n = pair_counts(rows, v, mod)
+    cuts = np.searchsorted(by_partition(u, parts), np.arange(parts + 1).astype(U64))
+    for p in range(parts):
+        if cuts[p] < cuts[p + 1]:
+            yield p, pack(u[cuts[p]: cuts[p + 1]], small(n[cuts[p]: cuts[p + 1]]))
+
+
+def pair_answer(messages: list[bytes]):
+    """Total of each key asked for."""
+    got = [unpack(m) for m in messages]
+    u, n = counted(np.concatenate([g[0] for g in got]), np.concatenate([g[1].astype(np.int64) for g in got]))
+    for g in got:
+        yield pack(small(n[np.searchsorted(u, g[0])]))
+
+
+def inside_class(share: np.ndarray, pair: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """P(token | class, word before) from its share of the class and the counts of the pair and of its context."""
+    return (pair + PRIOR * share) / (context + PRIOR)
+
+
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     def run(batches):
         out = []
@@ -304,12 +368,14 @@ def train(shards: Shards, v: Vocabulary, mod: int, folder: str) -> np.ndarray:
     return weights
 
 
-def text_scores(rows: pa.RecordBatch, answers: dict, v: Vocabulary, weights: np.ndarray, parts: int, mod: int):
+def text_scores(rows: pa.RecordBatch, answers: dict, pair_answers: dict, v: Vocabulary, weights: np.ndarray, parts: int, mod: int):
     """(n_tokens, n_known, base score, score) of each text."""
     data, ends = K.texts(rows.column("text"))
     asked = np.unique(np.concatenate([np.zeros(0, U64), *(Tokens(p, e).word for _, _, p, e in K.pieces(data, ends))]))
     part = (((asked >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
     totals = np.concatenate([answers[p][0] for p in np.unique(part).tolist()]).astype(np.int64) if len(asked) else np.zeros(0, np.int64)
+    met, _ = pair_counts(rows, v, mod)
+    seen = np.concatenate([np.zeros(0, np.int64), *(pair_answers[p][0].astype(np.int64) for p in np.unique(by_partition(met, parts)).tolist())])
     size = len(ends)
     n_tokens, n_known, base, score = (np.zeros(size, t) for t in (np.int64, np.int64, float, float))
     unit = np.log10(v.tokens + 0.1 * (v.distinct + 1))
@@ -320,10 +386,12 @@ def text_scores(rows: pa.RecordBatch, answers: dict, v: Vocabulary, weights: np.
         n_tokens[own] = np.bincount(text, minlength=j - i)
         n_known[own] = np.bincount(text, c > 0, j - i).astype(np.int64)
         base[own] = np.bincount(text, np.log10(c + 0.1) - unit, j - i)
-        # inside its class: the discounted count, or all the discounts for a word not known
+        # inside its class: the discounted count, or all the discounts for a word not known; then what follows the word before
         single = (kind < FREQUENT) | (kind == END_CLASS)
         mass = np.where(c > 0, c - v.discount[kind], v.discount[kind] * v.class_words[kind])
         inside = np.where(single | (v.class_tokens[kind] == 0), 1.0, mass / np.maximum(v.class_tokens[kind], 1))
+        some, pair, context = pair_keys(word, place, kind)
+        inside[some] = inside_class(inside[some], seen[np.searchsorted(met, pair)], seen[np.searchsorted(met, context)])
         total = np.log10(inside)
         at = features(word, place)
         for k in range(0, len(at), STEP):
@@ -349,12 +417,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     shards = Shards(rows, "text", folder, parts, shard_bytes)
     counts = shards.ask("counts", [], lambda batch, _: count_message(batch, parts, mod), count_answer)
     v = vocabulary(counts, total.texts or 0)
+    pairs = shards.ask("pairs", [], lambda batch, _: pair_message(batch, v, parts, mod), pair_answer)
     weights = train(shards, v, mod, folder)
     sent = spark.sparkContext.broadcast((v, weights))
 
     def make(batch, answers):
-        n_tokens, n_known, base, score = text_scores(batch, answers[0], *sent.value, parts, mod)
+        n_tokens, n_known, base, score = text_scores(batch, answers[0], answers[1], *sent.value, parts, mod)
         ids = batch.column("doc_id")
         return pa.RecordBatch.from_arrays([ids, pa.array(held_out(ids.to_pylist(), mod)), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(ids), sent.value[0].tokens)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return shards.finish([counts], make, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return shards.finish([counts, pairs], make, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

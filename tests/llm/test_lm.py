@@ -92,3 +92,20 @@ def test_learning_uses_the_words_before():
     for k in range(0, len(word), 200):
         learner.learn(hashes[k: k + 200], kind[k: k + 200])
     assert L.class_log_probability(learner.weights, hashes, kind).mean() > -0.2
+
+
+def test_words_of_a_class_follow_the_word_before(spark):
+    # x and y fall into one class by their endings, and neither is among the frequent words
+    frequent = " ".join(f"f{k}" for k in range(L.FREQUENT))
+    texts = [" ".join(f"{a}q{k} {b}same" for k in range(25) for a, b in (("lef", f"x{k}"), ("rig", f"y{k}"))) + " " + " ".join([frequent] * 4) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts) if not L.held_out([i], 10)[0]]
+    out = [i for i in range(100, 200) if L.held_out([i], 10)[0]][:2]
+    right, wrong = (" ".join(f"lefq{k} {b}{k}same" for k in range(25)) for b in "xy")
+    got = {r.doc_id: r.score for r in L.lm_scores(spark.createDataFrame([*rows, (out[0], right), (out[1], wrong)], "doc_id long, text string")).collect()}
+    assert got[out[0]] > got[out[1]] + 10
+
+
+def test_shares_after_a_word_sum_to_one():
+    rng = np.random.default_rng(0)
+    share, pair = rng.dirichlet(np.ones(30)), rng.integers(0, 4, 30)
+    assert np.isclose(L.inside_class(share, pair, pair.sum()).sum(), 1) and np.allclose(L.inside_class(share, 0, 0), share)
