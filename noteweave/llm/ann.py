@@ -5,7 +5,8 @@ point.  A tree of k-means splits is fitted on a bounded sample; every vector is
 under a leaf.  A query walks the tree best-bin-first: a priority queue holds the nodes
 by their distance, the nearest is opened, and leaves come out in the order in which
 they are visited.  The number of visits is widened until the neighbours of calibration
-queries, known from a complete comparison, are reached at the wanted rate.
+queries, known from a complete comparison, are reached at the wanted rate; a query whose
+leaves then hold too few vectors goes on.
 
 Neighbouring leaves share a bin of bounded size and a larger leaf has several bins, so a
 leaf that holds much of the data is spread over tasks; so are the queries of a bin.  A
@@ -80,13 +81,14 @@ class Tree:
                 node[own] = np.array(self.children[n])[nearest(x[own], self.centres[n])]
         return ~node
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves for a query, best bin first."""
-        queue, out = [(0.0, self.root)], []
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, rows: int = 0) -> list[int]:
+        """The first ``most`` leaves for a query, best bin first, and more until they hold ``rows`` of the ``sizes`` filed."""
+        queue, out, held = [(0.0, self.root)], [], 0
+        while queue and (len(out) < most or held < rows):
             _, n = heapq.heappop(queue)
             if n < 0:
                 out.append(~n)
+                held += sizes.get(~n, 0) if sizes else 0
                 continue
             gaps = ((self.centres[n] - q) ** 2).sum(axis=1)
             for g, c in zip(gaps.tolist(), self.children[n]):
@@ -132,8 +134,8 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     Rows with a null id, and vectors that are null, empty, zero, or hold a null or non-finite component,
     take no part; nor do vectors of another length than the commonest (the smaller on ties).  Of rows that
-    repeat an id the least vector stays.  With fewer other vectors than ``k`` all are returned if the
-    leaves visited hold them.  Further columns are ignored; an empty table gives an empty result.
+    repeat an id the least vector stays.  With fewer other vectors than ``k`` all are returned: a query
+    goes on past the calibrated visits until its leaves hold k others.  Further columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -217,7 +219,7 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             out = []
             for own, raw in zip(b.column("vec_id").to_pylist(), b.column("x").to_pylist()):
                 asks: dict[int, list[int]] = {}
-                for leaf in tree.value.visits(np.append(np.frombuffer(raw), 0.0), visits):
+                for leaf in tree.value.visits(np.append(np.frombuffer(raw), 0.0), visits, sizes, k + 1):  # one may be the query itself
                     for n in range(first.get(leaf, 0), first.get(leaf, 0) + bins.get(leaf, 0)):
                         asks.setdefault(n, []).append(leaf)
                 out += [(n, own, raw, np.array(leaves, np.int32).tobytes()) for n, leaves in asks.items()]

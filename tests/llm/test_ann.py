@@ -55,3 +55,13 @@ def test_few_and_none(spark):
     got = sorted(tuple(r) for r in ann.neighbours(df).collect())
     assert got == [(0, 1, 20, 4.0), (0, 2, 3, -1.0), (20, 1, 0, 4.0), (20, 2, 3, -2.0)]
     assert ann.neighbours(df.limit(0)).collect() == [] and ann.neighbours(df.filter("vec_id = 3")).collect() == []
+
+
+def test_outliers_beside_tight_clusters(spark):
+    # 3,000 queries find all neighbours, their copies, in the first leaf; the few scattered ones do not all
+    rng = np.random.default_rng(3)
+    x = np.r_[np.repeat(rng.normal(size=(30, 6)), 100, axis=0), rng.standard_t(1.5, size=(2000, 6))]
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    ids = np.r_[20 * np.arange(3000), 100_001 + 20 * np.arange(1960), 200_000 + 20 * np.arange(40)]
+    got = ann.neighbours(spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<double>")).toPandas()
+    assert got.groupby("query_id").size().reindex(ids[ids % 20 == 0], fill_value=0).eq(20).all()
