@@ -5,7 +5,8 @@ the lowest 16 bits of 32 min-hashes, split into 8 chunks of 4.  Two signatures t
 differ in at most 15 values have, by pigeonhole, a chunk with at most one difference;
 so each document is filed under every chunk with every one of its 4 values left out
 (32 keys), and any such pair meets under a key.  At similarity 0.85 a pair differs in
-4.8 values on average, and in more than 15 with a probability below 1e-5.
+4.8 values on average, and in more than 15 with a probability below 1e-5.  For a lower
+similarity the signature gets as many more chunks as keep that probability.
 
 Documents with equal sets form a class, and only classes are filed.  Classes that meet
 are joined to one candidate group; all pairs in a group are confirmed on the full sets,
@@ -14,6 +15,8 @@ block by block, and each block passes on at most a forest of links, never all pa
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +34,20 @@ BLOCK = 256
 #: Shingles of a pair of blocks that are counted at once.
 SLAB = 4096
 
-_SEEDS = K.mix(np.arange(1, HASHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+#: Probability that a pair at the least similarity meets under no key, at most; chunks that can be had for it.
+MISS, MOST_CHUNKS = 1e-5, 32
+
+_SEEDS = K.mix(np.arange(1, MOST_CHUNKS * IN_CHUNK + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+
+
+def hashes_for(percent: int) -> int:
+    """Values of a signature, HASHES or more, that hold MISS at the similarity ``percent``."""
+    q = 1 - percent / 100
+    for chunks in range(CHUNKS, MOST_CHUNKS + 1):
+        n = chunks * IN_CHUNK
+        if sum(comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(2 * chunks, n + 1)) <= MISS:
+            return n
+    raise ValueError(f"percent={percent}: no signature of up to {MOST_CHUNKS * IN_CHUNK} values finds such pairs surely enough")
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,19 +73,19 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.nda
     return values[new], K.count_by_text(owner[new], len(ends))
 
 
-def signatures(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """uint16 [texts with a set, HASHES]."""
+def signatures(sets: np.ndarray, counts: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """uint16 [texts with a set, hashes]."""
     at = (np.cumsum(counts) - counts)[counts > 0]
-    out = np.empty((len(at), HASHES), np.uint16)
-    for i, s in enumerate(_SEEDS):
+    out = np.empty((len(at), hashes), np.uint16)
+    for i, s in enumerate(_SEEDS[:hashes]):
         out[:, i] = np.minimum.reduceat(K.mix(sets ^ s), at).astype(np.uint16) if len(at) else 0
     return out
 
 
 def signature_keys(sig: np.ndarray) -> np.ndarray:
-    """uint64 [texts, 32]: each chunk with each of its values left out."""
+    """uint64 [texts, values]: each chunk with each of its values left out."""
     out = []
-    for c in range(CHUNKS):
+    for c in range(sig.shape[1] // IN_CHUNK):
         for skip in range(IN_CHUNK):
             key = np.full(len(sig), 1 + c * IN_CHUNK + skip, U64)
             for i in range(IN_CHUNK):
@@ -79,7 +95,7 @@ def signature_keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def profiles(docs: DataFrame, width: int) -> DataFrame:
+def profiles(docs: DataFrame, width: int, hashes: int = HASHES) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, sig): the set's size, two sums that name the set, and its signature."""
     def run(batches):
         for b in batches:
@@ -94,8 +110,8 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 n.append(counts)
                 k1.append(sums[0][stop] - sums[0][stop - counts])
                 k2.append(sums[1][stop] - sums[1][stop - counts])
-                full = np.zeros((len(counts), HASHES), np.uint16)
-                full[counts > 0] = signatures(sets, counts)
+                full = np.zeros((len(counts), hashes), np.uint16)
+                full[counts > 0] = signatures(sets, counts, hashes)
                 sig.append(full)
             if n:
                 flat = np.ascontiguousarray(np.concatenate(sig)).view(np.uint8).reshape(len(b), -1)
@@ -109,7 +125,7 @@ def key_rows(classes: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             if len(b):
-                keys = signature_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(len(b), HASHES))
+                keys = signature_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(len(b), -1))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), keys.shape[1]))], ["key", "rep"])
 
     return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
@@ -192,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     folder = shared_dir(spark)
     rows = id_text(docs, id_col, text_col)
-    known = stored(profiles(rows, width), folder, "profiles")
+    known = stored(profiles(rows, width, hashes_for(percent)), folder, "profiles")
     classes = known.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     classes = stored(classes, folder, "classes")
 

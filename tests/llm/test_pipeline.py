@@ -83,3 +83,11 @@ def test_odd_rows_and_clashing_names(spark):
     out = P.mixing_stage(spark, docs, SF)
     assert out.columns[-4:] == ["n_tokens", "domain", "rate_", "copies_"] and out.count()
     assert P.mixing_stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_near_duplicates_from_four_fifths(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles; a new end of n words replaces n of them
+    texts = [" ".join(words), " ".join(words[:-10] + [f"x{i}" for i in range(10)]), " ".join(words[:-20] + [f"y{i}" for i in range(20)])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    # 90 of 110 shared (0.82); 80 of 120 (0.67)
+    assert sorted(r.doc_id for r in P.near_duplicate_stage(spark, docs, SF).collect()) == [0, 2]
