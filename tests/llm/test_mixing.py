@@ -48,3 +48,24 @@ def test_odd_rows(spark, monkeypatch):
     assert {r.rate_ for r in M.mix(docs, labelled.limit(0), {"en": 1}, names=names).collect()} == {1.0}
     assert {r.rate_ for r in M.mix(docs, labelled, {}, names=names).collect()} == {1.0}
     assert M.mix(docs.limit(0), labelled, {"en": 1}, names=names).collect() == []
+
+
+def posteriors(spark, p, t):
+    return spark.createDataFrame([(int(a), b.tobytes()) for a, b in zip(t, p)], "n_tokens long, posterior binary")
+
+
+def test_rare_domain_meets_its_target(spark, recwarn):
+    rng = np.random.default_rng(0)
+    p = 1e-6 + (1 - 3e-6) * np.eye(3)[np.r_[np.full(6, 2), rng.integers(0, 2, 2994)]]
+    t = rng.integers(50, 150, len(p))
+    want = np.array([0.5, 0.3, 0.2])
+    gradients, step = M.fit(posteriors(spark, p, t), want)
+    r = M.rates(p, gradients, step)[0]
+    assert (r >= 0).all() and np.abs((p * (t * r)[:, None]).sum(axis=0) / t.sum() - want).max() <= 1.01e-6
+    assert not [w for w in recwarn if "mixing" in str(w.message)]
+
+
+def test_what_is_missed_is_reported(spark):
+    p = np.tile([0.5, 0.5], (20, 1))
+    with pytest.warns(UserWarning, match="missed by up to 0.4"):
+        M.fit(posteriors(spark, p, np.ones(20)), np.array([0.9, 0.1]))
