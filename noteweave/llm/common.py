@@ -130,14 +130,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int
 
     Rows whose fold is 0 are held out and never read here.  Of conflicting labels of an id the larger
     counts; null labels and ids are ignored.  The sample is the lowest by a hash of the id, so it does not
-    depend on order or partitions; its bound makes the broadcast small.
+    depend on order or partitions, and of rows that repeat an id the least text stays; its bound makes the broadcast small.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (fold("id", mod) != 0)).groupBy("id").agg(F.max("y").alias("y"))
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     some = lowest_by_hash(rows, "y", "id", per_class, sizes)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(some), "id").select("id", "text", "y"), sizes
+    return texts.join(F.broadcast(some), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y"), sizes
 
 
 def release(spark: SparkSession) -> None:

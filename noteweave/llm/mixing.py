@@ -76,12 +76,12 @@ class Domains:
 
 
 def train(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> Domains:
-    """From at most PER_DOMAIN documents of each domain; of several domains of an id the least counts."""
+    """From at most PER_DOMAIN documents of each domain; of several domains or texts of an id the least counts."""
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col("domain").cast("string").alias("domain")).dropna().groupBy("id").agg(F.min("domain").alias("domain"))
     sizes = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}  # a row per domain
     some = lowest_by_hash(rows, "domain", "id", PER_DOMAIN, sizes)  # its bound makes the broadcast small
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(some), "id").select("id", "text", "domain").toPandas().sort_values(["id", "text"])
+    got = texts.join(F.broadcast(some), "id").groupBy("id", "domain").agg(F.min("text").alias("text")).toPandas().sort_values(["id", "text"])
     return Domains([t.encode() for t in got["text"]], got["domain"].tolist())
 
 

@@ -69,3 +69,15 @@ def test_what_is_missed_is_reported(spark):
     p = np.tile([0.5, 0.5], (20, 1))
     with pytest.warns(UserWarning, match="missed by up to 0.4"):
         M.fit(posteriors(spark, p, np.ones(20)), np.array([0.9, 0.1]))
+
+
+def test_sample_has_one_row_an_id(spark, monkeypatch):
+    from noteweave.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(50)] + [(2, "le chat"), (3, "el gato")], "doc_id long, text string")
+    monkeypatch.setattr(M, "Domains", lambda texts, domains: (texts, domains))
+    labelled = spark.createDataFrame([(1, "en"), (2, "fr")], "doc_id long, domain string")
+    assert M.train(docs, labelled, "doc_id", "text") == ([b"text 0", b"le chat"], ["en", "fr"])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, y int")
+    got = labelled_sample(docs, labels, "y", 10**9, 10)[0].collect()
+    assert sorted(tuple(r) for r in got) == [(1, "text 0", 1), (2, "le chat", 0), (3, "el gato", 0)]
