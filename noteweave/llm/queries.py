@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with DuckDB SQL where SQL can state the result."""
+"""Registered queries of the thirteen operators, with DuckDB SQL where SQL can state the result."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from .ann import neighbours
 from .bwt_dedup import repeat_digest
 from .common import table
 from .decontam import contamination, digest
+from .filter_audit import audit
 from .lm import lm_scores
 from .mixing import TARGETS, by_language, mix
 from .near_dup import near_duplicates
@@ -138,3 +139,37 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') as l from d),
+m as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+f as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+             len(l) < 50 as a, 100 * len(list_distinct(l)) < 65 * len(l) as b,
+             100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) as c,
+             regexp_matches(t, '[#$%&*|]') as d, coalesce(w.doc_id > min(w.doc_id) over (partition by t), false) as e
+      from w left join m on m.doc_id = w.doc_id),
+n as (select part, list_value(a, b, c, d, e) as fails, good, toxic, count(*) as n from f group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 3, 4, 5]) as i),
+o as (select p.x || q.x || r.x || s.x || t.x as filter_order, [p.i, q.i, r.i, s.i, t.i] as o from x p, x q, x r, x s, x t
+      where len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+y as (select filter_order, o, unnest(range(1, 6)) as step from o),
+-- position, in the order, of the first filter that removes the document
+z as (select part, filter_order, step, n, good, toxic, fails[o[step]] as own, list_position(list_transform(o, lambda i: fails[i]), true) as first,
+             len(list_filter(fails, lambda q: q)) as many, o[step] as filter from n, y),
+g as (select part, filter_order, step, filter, cast(sum(case when first is null or first > step then n else 0 end) as bigint) as kept,
+             cast(sum(case when first = step then n else 0 end) as bigint) as removed,
+             cast(sum(case when own and first < step then n else 0 end) as bigint) as redundant,
+             cast(sum(case when own and many = 1 then n else 0 end) as bigint) as unique_fails,
+             cast(sum(case when first = step then n * good else 0 end) as bigint) as good_lost,
+             cast(sum(case when first = step then n * toxic else 0 end) as bigint) as toxic_lost
+      from z group by 1, 2, 3, 4)
+select part, filter_order, cast(step as int) as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       cast(sum(removed) over (partition by part, filter) as bigint) as shapley
+from g"""
