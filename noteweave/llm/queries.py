@@ -17,6 +17,7 @@ from .near_dup import near_duplicates
 from .quality import quality
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .vector_codes import vector_codes
 from .warc import page_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +174,31 @@ g as (select part, filter_order, step, filter, cast(sum(case when first is null
 select part, filter_order, cast(step as int) as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        cast(sum(removed) over (partition by part, filter) as bigint) as shapley
 from g"""
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """The rounds spelt out: (part, entry, position) rows of each codebook, (row, part) rows of each assignment."""
+    parts = ["""v as materialized (select row_number() over (order by vec_id, embedding) as r, vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as x
+      from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+x as materialized (select r, p, unnest(range(1, len(x) // 8 + 1)) as i, unnest(x[p * (len(x) // 8) + 1: (p + 1) * (len(x) // 8)]) as x
+      from (select r, x, unnest(range(0, 8)) as p from v)),
+b0 as materialized (select p, r - 1 as e, i, x as c from x where r <= 16)"""]
+    for k in range(rounds + 1):
+        parts.append(f"""d{k} as (select r, p, e, sum((x - c) * (x - c)) as d from x join b{k} using (p, i) group by all),
+a{k} as materialized (select r, p, arg_min(e, (d, e)) as e, min(d) as d from d{k} group by all)""")
+        if k < rounds:
+            parts.append(f"""s{k} as (select p, e, i, sum(x) as s, count(*) as n from x join a{k} using (r, p) group by all),
+b{k + 1} as materialized (select p, e, i, case when n is null then c when s >= 0 or s % n = 0 then s // n else s // n - 1 end as c from b{k} left join s{k} using (p, e, i))""")
+    return "with " + ",\n".join(parts) + f"""
+, o as (select r, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from a{rounds} group by 1)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+       (select sha256(string_agg(cast(c as varchar), ',' order by p, e, i)) from b{rounds}) as codebooks_sha256
+from v join o using (r)"""
+
+
+ORACLES["op13_vector_codes"] = _vector_codes_sql()
