@@ -15,6 +15,7 @@ from .lm import lm_scores
 from .mixing import TARGETS, by_language, mix
 from .near_dup import near_duplicates
 from .quality import quality
+from .quality_rules import quality_rules
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .vector_codes import vector_codes
@@ -202,3 +203,8 @@ from v join o using (r)"""
 
 
 ORACLES["op13_vector_codes"] = _vector_codes_sql()
+
+
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
