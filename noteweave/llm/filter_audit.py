@@ -18,6 +18,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_dir, stored
+
 FILTERS = "ABCDE"
 ALL = (1 << len(FILTERS)) - 1
 #: Parts into which the rows of one id are dealt when labels are joined.
@@ -47,12 +49,15 @@ def failure_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = labels.select(F.col(id_col).cast("long").alias("id"), (F.col("quality") == 1).cast("int").alias("good"), (F.col("toxic") == 1).cast("int").alias("toxic"))
     marks = marks.filter(F.col("id").isNotNull()).groupBy("id").agg(F.coalesce(F.max("good"), F.lit(0)).alias("good"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
 
-    rows = facts.groupBy("id", "part", "digest", "bits").agg(F.count(F.lit(1)).alias("n"))
+    folder = shared_dir(docs.sparkSession)
+    # read more than once below: written, so that texts are read once
+    rows = stored(facts.groupBy("id", "part", "digest", "bits").agg(F.count(F.lit(1)).alias("n")), folder, "rows")
     nameless = rows.filter(F.col("id").isNull()).groupBy("part", "bits").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("toxic"))
     named = rows.filter(F.col("id").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
     marks = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = named.join(marks, ["id", "salt"], "left").fillna(0, ["good", "toxic"])
     same = named.groupBy("digest", "part", "bits", "good", "toxic").agg(F.sum("n").alias("n"), F.min("id").alias("low"), F.min_by("n", "id").alias("n_low"))
+    same = stored(same, folder, "same")
     lowest = same.groupBy("digest").agg(F.min("low").alias("lowest"))
     same = same.join(lowest, "digest")
     firsts = F.when(F.col("low") == F.col("lowest"), F.col("n_low")).otherwise(F.lit(0))
