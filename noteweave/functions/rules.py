@@ -83,6 +83,26 @@ def re2_compatible(pattern: str) -> bool:
     return not re.search(r"\(\?<[=!]|\(\?[=!]|\\Z|\[\\b", pattern)
 
 
+# What the patterns hold that an RE2 engine lacks, and what stands for it there.  A look-behind
+# becomes a consumed character (its rules' matches end in a digit, so it is never part of the match before);
+# a backspace is no word character anyway; two capitals of a postcode are never ``mm``; ``(?!and )`` is
+# dropped, which is exact where no second or third word of a name is an "and".
+RE2_PARTS = [
+    ("(?<![\\.0-9A-Za-z])", "(?:^|[^\\.0-9A-Za-z])"),
+    ("\\Z", "\\z"),
+    ("[\\b\\W]", "\\W"),
+    ("(?![0-9]mm)", ""),
+    ("(?!and )", ""),
+]
+
+
+def re2_form(pattern: str) -> str:
+    """The pattern for an RE2 engine (see RE2_PARTS)."""
+    for part, stand_in in RE2_PARTS:
+        pattern = pattern.replace(part, stand_in)
+    return pattern
+
+
 # ---------------------------------------------------------------- context rules
 
 @dataclass

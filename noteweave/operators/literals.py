@@ -17,8 +17,8 @@ from collections.abc import Iterable, Sequence
 _FOLD: dict[int, str] = {}
 #: Cased scripts end before this code point.
 _CASED = 0x1F000
-#: Up to so many literals a text is searched literal by literal.
-_FEW = 3
+#: Up to so many characters (of the text, once a literal) a text is searched literal by literal.
+_LITTLE = 1 << 16
 _SOLID = re.compile(r"\S")
 
 Literal = tuple[str, bool]  # the literal, and whether it must stand as a whole word
@@ -50,7 +50,7 @@ def find_all(folded: str, literals: Iterable[str]) -> dict[str, Sequence[int]]:
     """Start of every occurrence, also overlapping ones, of each folded literal that occurs, ascending."""
     literals = [x for x in set(literals) if x and len(x) <= len(folded)]
     found: dict[str, Sequence[int]] = {}
-    if len(literals) <= _FEW:
+    if len(literals) * len(folded) <= _LITTLE:
         for x in literals:
             at = folded.find(x)
             if at >= 0:
@@ -94,15 +94,21 @@ def _matches(text: str, starts: Sequence[int], size: int, word: bool) -> Iterabl
             last = at + size
 
 
-def residual(text: str, literals: Sequence[Literal]) -> list[tuple[int, str]]:
+def residual(text: str, literals: Sequence[Literal], found: dict | None = None) -> list[tuple[int, str]]:
     """(start, string) of every match of each literal, in literal order, then text order."""
-    found = find_all(fold(text), (fold(x) for x, _ in literals))
+    found = find_all(fold(text), (fold(x) for x, _ in literals)) if found is None else found
     return [(at, text[at: at + len(x)]) for x, word in literals for at in _matches(text, found.get(fold(x), ()), len(x), word)]
 
 
-def replaced(text: str, literals: Sequence[Literal]) -> str:
-    """The literals replaced in turn, each match by as many ``Q``; a match sees what earlier ones replaced."""
+def scrubbed(text: str, literals: Sequence[Literal]) -> tuple[list[tuple[int, str]], str]:
+    """D8 and D9 of one search."""
     found = find_all(fold(text), (fold(x) for x, _ in literals))
+    return residual(text, literals, found), replaced(text, literals, found)
+
+
+def replaced(text: str, literals: Sequence[Literal], found: dict | None = None) -> str:
+    """The literals replaced in turn, each match by as many ``Q``; a match sees what earlier ones replaced."""
+    found = find_all(fold(text), (fold(x) for x, _ in literals)) if found is None else found
     gone, spans, done = bytearray(len(text)), [], {}
 
     def neighbours(at: int) -> tuple[str, str]:
