@@ -118,10 +118,15 @@ def fit(members: DataFrame, weights: np.ndarray) -> tuple[list[np.ndarray], floa
     if not len(gram) or gram[-1] <= 0:
         return [], 0.0
     tokens = gram[-1]
-    values, vectors = np.linalg.eigh(gram[:-1].reshape(n, n) / tokens)
+    gram = gram[:-1].reshape(n, n) / tokens
+    values, vectors = np.linalg.eigh(gram)
     some = values > 1e-12 * values[-1]
     inverse = (vectors[:, some] / values[some]) @ vectors[:, some].T
 
+    def flat(gap: np.ndarray) -> bool:
+        """Whether no row's rate changes the gap's square any more: then the rates are optimal, met or not."""
+        return float(gap @ gram @ gap) <= TOLERANCE**2
+
     def descend(scale: np.ndarray, step: float, most: float) -> tuple[list[np.ndarray], np.ndarray]:
         """Scaled gradients until the targets are met, or for at least ``most`` steps and while PATIENCE of them halve the gap; and the gap that is left."""
         gradients: list[np.ndarray] = []
@@ -129,10 +134,11 @@ def fit(members: DataFrame, weights: np.ndarray) -> tuple[list[np.ndarray], floa
         while True:
             sent = sc.broadcast(list(gradients))
             sums = total(lambda p, t: np.concatenate([(p * (t * r)[:, None]).sum(axis=0) for r in rates(p, sent.value, step)]))
+            sent.unpersist()
             gap = sums.reshape(2, n) / tokens - weights
-            if np.abs(gap[0]).max() <= TOLERANCE:
+            if np.abs(gap[0]).max() <= TOLERANCE or flat(gap[0]):
                 return gradients, gap[0]
-            missed = float(gap[0] @ scale @ gap[0])
+            missed = max(0.0, float(gap[0] @ scale @ gap[0]))  # rounding may turn it below 0
             if missed < mark / 2:
                 mark, gained = missed, len(gradients)
             if missed < least:
@@ -143,7 +149,7 @@ def fit(members: DataFrame, weights: np.ndarray) -> tuple[list[np.ndarray], floa
 
     step = 1.0
     gradients, gap = descend(inverse, step, 0)
-    if np.abs(gap).max() > TOLERANCE:  # no rates meet the targets: least squares, as the targets stand
+    if np.abs(gap).max() > TOLERANCE and not flat(gap):  # no rates meet the targets: least squares, as the targets stand
         plain = 1 / max(values[-1], 1e-12)
         other, other_gap = descend(np.eye(n), plain, ITERATIONS)
         if other_gap @ other_gap <= gap @ gap:
