@@ -109,6 +109,24 @@ def gazetteer_mentions(spark, sf_dir):
     return m.select("doc_id", "start_pos", "end_pos", "str", F.col("cuis")[0].alias("cui"), F.size("cuis").alias("n_cuis"))
 
 
+@register("gazetteer_passages", r"""with w0 as (select doc_id, regexp_extract_all(text, '([\s\S]*?)(\w+)', 1) as g, regexp_extract_all(text, '([\s\S]*?)(\w+)', 2) as m from documents),
+w1 as (select doc_id, unnest(g) as g, unnest(m) as m, unnest(range(1, len(m) + 1)) as i from w0),
+w as (select doc_id, i, m, lead(m) over (partition by doc_id order by i) as next, cast(sum(length(g) + length(m)) over (partition by doc_id order by i) - length(m) as int) as s,
+  cast(sum(length(g) + length(m)) over (partition by doc_id order by i) as int) as e from w1),
+b as (select item_id, regexp_extract_all(lower(text), '\w+') as l from benchmark),
+dic as (select array_to_string(l, ' ') as key, l[1] as first, l[2] as second, len(l) as n, cast(min(item_id) as varchar) as cui, cast(count(*) as int) as n_cuis from b where len(l) > 1 group by all),
+c as (select doc_id, i, s, key, n, cui, n_cuis from w join dic on lower(m) = first and lower(next) = second),
+r as (select c.doc_id, c.s as start_pos, max(x.e) as end_pos, string_agg(x.m, ' ' order by x.i) as str, key, cui, n_cuis
+  from c join w x on x.doc_id = c.doc_id and x.i between c.i and c.i + n - 1 group by c.doc_id, c.i, c.s, key, cui, n_cuis)
+select doc_id, start_pos, end_pos, str, cui, n_cuis from r where lower(str) = key""")
+def gazetteer_passages(spark, sf_dir):
+    """J5 with labels of many words: whole benchmark items as labels against every whole text of documents."""
+    items = inputs.base(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("cui"), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"(\w+)"), 1), " ").alias("label"))
+    m = jobs.gazetteer(inputs.base(spark, sf_dir, "documents").select("doc_id", "text"), items)
+    return m.select("doc_id", "start_pos", "end_pos", "str", F.col("cuis")[0].cast("string").alias("cui"), F.size("cuis").alias("n_cuis"))
+
+
 _STATUS = JobStatus("success", datetime(2000, 1, 1), datetime(2024, 1, 15))
 _NOW = datetime(2024, 1, 22)
 
