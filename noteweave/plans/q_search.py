@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..operators import ontology, search
+from ..operators import ontology, search, text_index
 from ..operators.search import Filter, SearchQuery, Term
 from . import inputs
 from .q_ontology import SOURCES, _cui_tab
@@ -287,3 +287,54 @@ def transaction_sample(spark, sf_dir):
     r = _run(spark, sf_dir, SearchQuery([Term(T1 + T2)]), project_fields=False)
     saved = search.finest_ids(r, "tx-0001")
     return search.training_sample(saved, seed=7)
+
+
+# Free text with stems, stop words, phrases over stop words, negation and qualifiers, beside concepts and mappings.
+TEXT_BATCH = [
+    SearchQuery([Term("bolts")]),
+    SearchQuery([Term('"the red of bolts"'), Term("C0000003", qdepth=2, qonlysty=False)]),
+    SearchQuery([Term('plating or "hot gears"'), Term("-small -old")]),
+    SearchQuery([Term("the of and")]),
+    SearchQuery([Term("RED BOLT", negation="Negated")]),
+    SearchQuery([Term("C0000005,lung", qdepth=1, qonlysty=False), Term("widgets -(cold)")]),
+    SearchQuery([Term("-anvil")]),
+]
+
+
+def _phrase_sql(first, second, gap=1):
+    return f"""select distinct a.doc_id from tok a join tok b on a.doc_id = b.doc_id and a.ann_no = b.ann_no and b.pos = a.pos + {gap}
+  where a.word = '{first}' and b.word = '{second}'"""
+
+
+def _word_sql(word):
+    return f"select distinct doc_id from tok where word = '{word}'"
+
+
+@register("query_batch_text", f"""with recursive {_EDGES}, {_MAP_SQL}, {_TOK_SQL},
+cl(cui, depth) as (select 'C0000003', 0 union select ed.cui2, cl.depth + 1 from cl join ed on cl.cui = ed.cui1 where cl.depth < 2),
+c5(cui, depth) as (select 'C0000005', 0 union select ed.cui2, c5.depth + 1 from c5 join ed on c5.cui = ed.cui1 where c5.depth < 1),
+d as (select distinct doc_id from f_doc),
+q1b as (select distinct doc_id from f_ann where cui in (select cui from cl)),
+q5a as (select distinct doc_id from f_ann where cui in (select cui from c5) or cui in (select cui from mp where map_name = 'lung'))
+select 0 as query_id, doc_id from ({_word_sql('bolt')})
+union all select 1, doc_id from ({_phrase_sql('red', 'bolt', 2)}) where doc_id in (from q1b)
+union all select 2, doc_id from ({_word_sql('plate')} union {_phrase_sql('hot', 'gear')})
+  where doc_id not in ({_word_sql('small')}) and doc_id not in ({_word_sql('old')})
+union all select distinct 4, doc_id from f_ann where pref = 'RED BOLT' and negation = 'Negated'
+union all select 5, doc_id from q5a where doc_id in ({_word_sql('widget')}) and doc_id not in ({_word_sql('cold')})
+union all select 6, doc_id from d where doc_id not in ({_word_sql('anvil')})""")
+def query_batch_text(spark, sf_dir):
+    """Q1-Q9 of seven saved queries in one plan, five of them with free text, by the positional index."""
+    edges = ontology.narrower_edges(inputs.view(spark, sf_dir, "f_edge"), SOURCES)
+    out = text_index.batch_docs(inputs.annotations(spark, sf_dir), inputs.documents(spark, sf_dir), TEXT_BATCH,
+                                snomed=ontology.snomed_to_cui_table(inputs.view(spark, sf_dir, "f_conso")), narrower=edges,
+                                cui_groups=_cui_tab(spark, sf_dir), mappings=_mapping(spark, sf_dir))
+    return out.select(F.col("query_id").cast("int").alias("query_id"), "doc_id")
+
+
+@register("text_postings", f"""with {_TOK_SQL.replace('doc_id, ann_no, unnest', 'pref, unnest').replace('from f_ann', "from (select distinct pref from f_ann)")}
+select case word when 'large' then 'larg' else word end as term, count(distinct pref) as n_labels, min(pos) - 1 as first_pos from tok group by 1""")
+def text_postings(spark, sf_dir):
+    """Q7: the index's terms, with the labels that hold each and its least position."""
+    p = text_index.build_index(inputs.annotations(spark, sf_dir)).postings
+    return p.groupBy("term").agg(F.countDistinct("label").alias("n_labels"), F.min("pos").cast("long").alias("first_pos"))
