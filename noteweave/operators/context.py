@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import ContextConfig, ContextRule
+from .sweep import sentence_of
 
 HEAD_CHARS = 200
 WINDOW_CHARS = 150
-BIN = 4096
 
 
 
@@ -75,19 +75,10 @@ def word_occurrences(text: Column, word: Column) -> Column:
 
 # ---------------------------------------------------------------- C3 / C4
 
-def mention_sentence(mentions: DataFrame, sentences: DataFrame, bin_size: int = BIN) -> DataFrame:
+def mention_sentence(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
     """``(doc_id, ann_no, sent_no)`` of the first sentence (by start) that
     holds the mention's start or end (both ends inclusive)."""
-    s = sentences.select("doc_id", "sent_no", F.col("start_pos").alias("s_start"), F.col("end_pos").alias("s_end"))
-    sb = s.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s_start") / bin_size).cast("long"),
-                                                  F.floor(F.col("s_end") / bin_size).cast("long"))))
-    m = mentions.select("doc_id", "ann_no", F.col("start_pos").alias("a_start"), F.col("end_pos").alias("a_end"))
-    mb = m.withColumn("bin", F.explode(F.array_distinct(F.array(
-        F.floor(F.col("a_start") / bin_size).cast("long"), F.floor(F.col("a_end") / bin_size).cast("long")))))
-    hit = mb.join(sb, ["doc_id", "bin"]).where(
-        F.col("a_start").between(F.col("s_start"), F.col("s_end")) | F.col("a_end").between(F.col("s_start"), F.col("s_end")))
-    first = hit.groupBy("doc_id", "ann_no").agg(F.min(F.struct("s_start", "sent_no")).alias("_f"))
-    return first.select("doc_id", "ann_no", F.col("_f.sent_no").alias("sent_no"))
+    return sentence_of(mentions, sentences)
 
 
 def sentence_neighbours(sentences: DataFrame) -> DataFrame:

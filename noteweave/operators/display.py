@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 4096
+from .sweep import covered
+
 
 
 def _has(rule: str) -> Column:
@@ -50,28 +51,9 @@ def overlap_removed(view: DataFrame) -> DataFrame:
 
     Sorted by start (stable on idx), each anchor with the run of following
     annotations that start before it ends forms a group; every group keeps
-    only its longest member (ties: the later one in sort order).  Members are
-    found by a binned range self-join on (doc, start bin).
+    only its longest member (ties: the later one in sort order).
     """
-    a = view.select("doc_id", "idx", "s", "e")
-    anchors = a.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / BIN).cast("long"),
-                                                       F.floor(F.greatest(F.col("e") - 1, F.col("s")) / BIN).cast("long"))))
-    members = a.select("doc_id", F.col("idx").alias("m_idx"), F.col("s").alias("m_s"), F.col("e").alias("m_e"),
-                       F.floor(F.col("s") / BIN).cast("long").alias("bin"))
-    pairs = (anchors.join(members, ["doc_id", "bin"])
-             .where(((F.col("m_s") > F.col("s")) | ((F.col("m_s") == F.col("s")) & (F.col("m_idx") > F.col("idx"))))
-                    & (F.col("m_s") < F.col("e")))
-             .select("doc_id", F.col("idx").alias("anchor"), "m_idx", "m_s", "m_e"))
-    selves = (pairs.select("doc_id", "anchor").distinct()
-              .join(a.select("doc_id", F.col("idx").alias("anchor"), F.col("s").alias("m_s"), F.col("e").alias("m_e")),
-                    ["doc_id", "anchor"])
-              .select("doc_id", "anchor", F.col("anchor").alias("m_idx"), "m_s", "m_e"))
-    grp = pairs.unionByName(selves)
-    kept = grp.groupBy("doc_id", "anchor").agg(
-        F.max(F.struct((F.col("m_e") - F.col("m_s")).alias("len"), "m_s", "m_idx")).alias("_k"))
-    removed = (grp.join(kept, ["doc_id", "anchor"]).where(F.col("m_idx") != F.col("_k.m_idx"))
-               .select("doc_id", F.col("m_idx").alias("idx")).distinct())
-    return removed
+    return covered(view)
 
 
 def remove_overlaps(view: DataFrame) -> DataFrame:
