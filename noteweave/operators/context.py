@@ -24,13 +24,16 @@ Offsets are code points, as in Python slicing.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import ContextConfig, ContextRule
+from . import literals as L
 from .sweep import sentence_of
 
 HEAD_CHARS = 200
@@ -60,17 +63,77 @@ def java_match(patterns: Sequence[str], case_sensitive: bool) -> str:
     return f"(?{flags})\\A(?:" + "|".join(patterns) + ")"
 
 
-def word_occurrences(text: Column, word: Column) -> Column:
-    """Start offsets of whole-word, case-insensitive occurrences (``\\G`` gap walk)."""
-    pat = F.concat(F.lit("(?s)\\G(.*?)((?iuU)\\b"),
-                   F.concat(F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")),
-                   F.lit("\\b)"))
-    z = F.arrays_zip(F.regexp_extract_all(text, pat, 1).alias("g"), F.regexp_extract_all(text, pat, 2).alias("m"))
-    init = F.struct(F.lit(0).alias("p"), F.array().cast("array<int>").alias("out"))
-    acc = F.aggregate(z, init, lambda a, x: F.struct(
-        (a["p"] + F.length(x["g"]) + F.length(x["m"])).alias("p"),
-        F.concat(a["out"], F.array((a["p"] + F.length(x["g"])).cast("int"))).alias("out")))
-    return F.when(F.length(word) > 0, acc["out"]).otherwise(F.array().cast("array<int>"))
+#: Mentions of one document that share a copy of its text.
+SHARED = 50_000
+_SPANS = ("p", "n", "pp", "nn")
+
+
+def _nearest(starts: Sequence[int], at: int) -> int | None:
+    """The start nearest to a place; of two equally near ones the earlier."""
+    k = bisect_left(starts, at)
+    return min(starts[max(k - 1, 0): k + 1], key=lambda p: (abs(p - at), p), default=None)
+
+
+def _part(text: str | None, a: int | None, b: int | None) -> str | None:
+    """``text[a:b]`` with negative bounds at 0 (X17); null if anything is."""
+    return None if text is None or a is None or b is None else text[max(a, 0): max(b, 0)]
+
+
+def sentence_texts(mentions: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per mention ``offset`` and the texts of its sentence (``_ctx``) and of those around it, moved by the offset.
+
+    Mentions have ``start_pos, end_pos, str, sent_start, sent_end`` and the spans of C4.  Texts and mentions are
+    sorted together by document, each text before its mentions, and read in one stream: a task holds one text, and
+    a mention leaves with its few sentences only.  A document of very many mentions is dealt to several tasks, with
+    a copy of its text for every SHARED of them.
+
+    C5: a mention whose text is not its string moves to the nearest whole-word occurrence of the string (ties: the
+    earlier); without one, or if the place itself holds the string, it stays.
+    """
+    from pyspark import cloudpickle
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    cloudpickle.register_pickle_by_value(L)
+    many = mentions.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / SHARED).cast("int").alias("_n")).where("_n > 1")
+    m = mentions.join(many, "doc_id", "left").withColumn("_part", F.pmod("ann_no", F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    d = docs.select("doc_id", "text").join(many, "doc_id", "left").select("doc_id", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_part"), "text", F.lit(0).alias("_kind"))
+    both = d.unionByName(m.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    both = both.repartition("doc_id", "_part").sortWithinPartitions("doc_id", "_part", "_kind")
+
+    added = [T.StructField("offset", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("_ctx", "_prev", "_next", "_pp", "_nn"))]
+    schema = T.StructType([*mentions.schema.fields, *added])
+    arrow, kept, find, nearest, part = to_arrow_schema(schema), mentions.columns, L, _nearest, _part
+
+    def run(batches):
+        key, text, low, places = None, None, None, {}
+        for b in batches:
+            out = []
+            cols = {c: b.column(c).to_pylist() for c in ("doc_id", "_part", "_kind", "start_pos", "end_pos", "str", "sent_start", "sent_end", *_SPANS)}
+            for k in range(len(b)):
+                here = (cols["doc_id"][k], cols["_part"][k])
+                if here != key:
+                    key, text, low, places = here, None, None, {}
+                if cols["_kind"][k] == 0:
+                    text, low, places = b.column("text")[k].as_py(), None, {}
+                    continue
+                a, e, word, s0, s1 = (cols[c][k] for c in ("start_pos", "end_pos", "str", "sent_start", "sent_end"))
+                offset = 0
+                if None not in (text, a, e, word, s0, s1) and part(text, a, e) != word and part(part(text, s0, s1), a - s0, e - s0).lower() != word.lower():
+                    if word not in places:
+                        low = find.fold(text) if low is None else low
+                        x = find.fold(word)
+                        places[word] = list(find._matches(text, find.find_all(low, [x]).get(x, ()), len(word), True))
+                    to = nearest(places[word], a)
+                    offset = 0 if to is None else to - a
+                spans = [cols[c][k] for c in _SPANS]
+                own = [part(text, *(None if x is None else x + offset for x in (s0, s1)))]
+                own += [None if x is None else part(text, *(None if y is None else y + offset for y in x.values())) for x in spans]
+                out.append((k, offset, *own))
+            rows, new = pa.array([r[0] for r in out], pa.int64()), list(zip(*out))[1:] or [()] * len(added)
+            cols_out = [b.column(c).take(rows) for c in kept] + [pa.array(list(c), f.type) for c, f in zip(new, list(arrow)[len(kept):])]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols_out, arrow)], schema=arrow)
+
+    return both.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- C3 / C4
@@ -111,40 +174,16 @@ def context_frame(mentions: DataFrame, sentences: DataFrame, docs: DataFrame,
     ms = mention_sentence(mentions, sentences)
     nbr = sentence_neighbours(sentences)
     lits = [F.locate(lit.lower(), F.lower(F.col("text"))) for lit in cut_off_literals]
-    d = docs.select("doc_id", "text",
+    d = docs.select("doc_id",
                     py_slice(F.col("text"), 0, HEAD_CHARS).alias("head"),
                     (F.array(*lits) if lits else F.array().cast("array<int>")).alias("cut_pos"))
     hits = [F.coalesce(F.col("head").rlike(java_match(r.wrapped(), r.case_sensitive)), F.lit(False)) for r in head_rules]
     d = d.withColumn("head_hits", F.array(*hits) if hits else F.array().cast("array<boolean>"))
     m = (mentions.join(ms, ["doc_id", "ann_no"], "left")
          .join(nbr.withColumnRenamed("start_pos", "sent_start").withColumnRenamed("end_pos", "sent_end"),
-               ["doc_id", "sent_no"], "left")
-         .join(d, "doc_id", "left"))
-    t = F.col("text")
-    a_s, a_e = F.col("start_pos"), F.col("end_pos")
-    off_s, off_e = a_s - F.col("sent_start"), a_e - F.col("sent_start")
-    sent_text = py_slice(t, F.col("sent_start"), F.col("sent_end"))
-    in_sent = py_slice(sent_text, off_s, off_e)
-    # A span whose text is the mention's string as it stands is never moved
-    exact = py_slice(t, a_s, a_e) == F.col("str")
-    mismatch = ~F.coalesce(exact, F.lit(False)) & (F.lower(in_sent) != F.lower(F.col("str")))
-    # Nearest whole-word occurrence, ties -> earlier; none -> unchanged
-    # the occurrence search (a per-row regex) runs only for mismatching
-    # mentions: CASE WHEN evaluates just the branch it takes
-    occ = word_occurrences(t, F.col("str"))
-    best = F.array_min(F.transform(occ, lambda p: F.struct(F.abs(p - a_s).alias("d"), p.alias("p"))))
-    offset = F.when(mismatch, F.coalesce(best["p"] - a_s, F.lit(0))).otherwise(F.lit(0))
-    m = m.withColumn("found", F.col("sent_no").isNotNull()).withColumn("offset", offset)
-    o = F.col("offset")
-
-    def span_text(span: str) -> Column:
-        return F.when(F.col(span).isNotNull(),
-                      py_slice(t, F.col(f"{span}.start_pos") + o, F.col(f"{span}.end_pos") + o))
-
-    ctx = py_slice(t, F.col("sent_start") + o, F.col("sent_end") + o)
-    m = (m.withColumn("_ctx", ctx)
-         .withColumn("_prev", span_text("p")).withColumn("_next", span_text("n"))
-         .withColumn("_pp", span_text("pp")).withColumn("_nn", span_text("nn")))
+               ["doc_id", "sent_no"], "left"))
+    m = sentence_texts(m, docs).join(d, "doc_id", "left").withColumn("found", F.col("sent_no").isNotNull())
+    off_s, off_e = F.col("start_pos") - F.col("sent_start"), F.col("end_pos") - F.col("sent_start")
     ctx, prev, nxt = F.col("_ctx"), F.col("_prev"), F.col("_next")
     s_before0 = py_slice(ctx, None, off_s)
     # A previous sentence ending '?' or 'e.g.' joins the left context
