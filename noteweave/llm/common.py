@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -140,6 +141,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int
     return texts.join(F.broadcast(some), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y"), sizes
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """While jobs run inside, tasks get at most ``rows`` rows in an Arrow batch: rows here are large, and a batch is held
+    by Spark and by Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps; otherwise they stay until the driver collects garbage."""
     import gc

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, ship
+from .common import arrow_rows, release, ship
 
 SHARD_BYTES = 1 << 20
+#: Shards, or messages, of one Arrow batch.
+BATCH = 32
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -69,12 +72,13 @@ class Shards:
 
         import pyarrow.compute  # noqa: F401
 
-        self.table = self.stored(docs.mapInArrow(run, "shard long, rows binary").repartition(parts, "shard").sortWithinPartitions("shard"), "shards")
+        self.table = self.stored(docs.mapInArrow(run, "shard long, rows binary").repartition(parts, "shard").sortWithinPartitions("shard"), "shards", None)
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` in buckets by shard: joins of such tables on it need no shuffle."""
+    def stored(self, df: DataFrame, name: str, batch: int | None = BATCH) -> DataFrame:
+        """``df`` in buckets by shard: joins of such tables on it need no shuffle.  Texts come in batches of any size, shards in small ones."""
         table = f"noteweave_{name}_{uuid.uuid4().hex}"
-        df.write.format("parquet").bucketBy(self.parts, "shard").option("path", f"{self.folder}/{name}").saveAsTable(table)
+        with arrow_rows(self.spark, batch) if batch else nullcontext():
+            df.write.format("parquet").bucketBy(self.parts, "shard").option("path", f"{self.folder}/{name}").saveAsTable(table)
         return self.spark.table(table)
 
     def joined(self, answers: list[DataFrame]) -> DataFrame:
