@@ -443,11 +443,10 @@ def anns_by_mapping(anns: DataFrame, mapping: DataFrame, map_name: str) -> DataF
 
     A mapping that does not exist leaves all rows as they are (both columns null).
     """
-    if mapping.where(F.col("map_name") == map_name).isEmpty():
-        return anns.withColumn("mapped", F.lit(None).cast("string")).withColumn("mapping_name", F.lit(None).cast("string"))
-    m = mapping.where(F.col("map_name") == map_name).select(
-        "cui", F.col("term").alias("mapped"), F.col("map_name").alias("mapping_name"))
-    return anns.join(m, "cui")
+    own = mapping.where(F.col("map_name") == map_name)
+    m = own.select("cui", F.col("term").alias("mapped"), F.col("map_name").alias("mapping_name"))
+    known = own.agg(F.count(F.lit(1))).scalar() > 0  # part of the plan: nothing runs here
+    return anns.join(m, "cui", "left").where(F.col("mapping_name").isNotNull() | ~known)
 
 
 def docs_with_mapped(doc_ids: DataFrame, anns: DataFrame, mapping: DataFrame, map_name: str) -> DataFrame:
@@ -466,12 +465,14 @@ def finest_ids(result_docs: DataFrame, transaction_id: str) -> DataFrame:
 def training_sample(saved: DataFrame, seed: int = 42, max_n: int = 200, frac: float = 0.1) -> DataFrame:
     """Q26: random subset of a saved transaction, at most ``max_n`` and ``frac`` of it.
 
-    The order is a seeded hash of the id (stable across runs and retries);
-    ``n`` comes from one count, the limit is a top-k on the hash.
+    The order is a seeded hash of the id (stable across runs and retries).
+    Nothing runs here: the size is a scalar subquery of the plan, and only the
+    ``max_n`` first rows by the hash are numbered.
     """
-    n = saved.count()
-    k = min(max_n, int(n * frac))
-    return saved.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k)
+    n = saved.agg(F.count(F.lit(1))).scalar()
+    by = [F.xxhash64("id", F.lit(seed)), F.col("id")]
+    top = saved.orderBy(*by).limit(max_n).withColumn("_rank", F.row_number().over(Window.orderBy(*by)))
+    return top.where(F.col("_rank") <= F.floor(n * F.lit(frac))).drop("_rank")
 
 
 def list_docs(anns: DataFrame) -> DataFrame:
@@ -479,11 +480,11 @@ def list_docs(anns: DataFrame) -> DataFrame:
     return anns.select("doc_id").distinct()
 
 
-def result_envelope(results: DataFrame, transaction_id: str) -> tuple[dict, DataFrame]:
-    """Q17: header ``{success, num_results, transactionId}`` plus the result rows.
+def result_envelope(results: DataFrame, transaction_id: str) -> tuple[DataFrame, DataFrame]:
+    """Q17: one header row ``(success, num_results, transactionId)`` and the result rows.
 
-    The rows stay a DataFrame (one field -> one column of values, several ->
-    one row per result); only the count reaches the driver.
+    Both are DataFrames (one field -> one column of values, several -> one row
+    per result): nothing runs before one of them is read.
     """
-    n = results.count()
-    return {"success": True, "num_results": n, "transactionId": transaction_id}, results
+    header = results.agg(F.count(F.lit(1)).alias("num_results"))
+    return header.select(F.lit(True).alias("success"), "num_results", F.lit(transaction_id).alias("transactionId")), results

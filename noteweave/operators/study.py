@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import line_place
+
 from ..functions.partitioning import dense_rank_within
 
 _MANUAL_SCHEMA = T.MapType(T.StringType(), T.StructType([
@@ -25,12 +27,11 @@ def concepts_from_tsv(spark: SparkSession, path: str) -> DataFrame:
     """K1: ``label<TAB>cui`` lines; each line is its own concept with a 1-CUI closure.
 
     Lines without exactly two fields are returned with ``ok = false`` so the
-    caller can report them.  ``ord`` follows file order.
+    caller can report them.  ``ord`` is the line's place: files in order of their names, lines in order.
     """
-    # monotonically_increasing_id follows file order and needs no global sort
     lines = spark.read.text(path).withColumn("_f", F.split("value", "\t"))
     return lines.select(
-        F.monotonically_increasing_id().alias("ord"),
+        line_place().alias("ord"),
         F.get("_f", 0).alias("name"), F.get("_f", 1).alias("cui"),  # get: null past the end (ANSI-safe)
         (F.size("_f") == 2).alias("ok"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,9 +65,18 @@ def _pipe(spark: SparkSession, path: str, names: Sequence[str], header: bool = F
     return df.drop("_trail") if not header else df
 
 
+def line_place() -> Column:
+    """A line's place among all lines read, for last-wins rules: (file, split's first byte, order in the split).
+
+    Row ids alone follow the order in which Spark deals splits to tasks, which is by size where files are many.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("line"))
+
+
 def read_mrconso(spark: SparkSession, path: str) -> DataFrame:
-    """MRCONSO.RRF with a line number for last-wins rules (file order within a split)."""
-    return _pipe(spark, path, _MRCONSO).withColumn("line_no", F.monotonically_increasing_id())
+    """MRCONSO.RRF with each line's place (``line_no``) for last-wins rules; several files count in order of their names."""
+    return _pipe(spark, path, _MRCONSO).withColumn("line_no", line_place())
 
 
 def read_mrrel(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +84,7 @@ def read_mrrel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mrsty(spark: SparkSession, path: str) -> DataFrame:
-    return _pipe(spark, path, _MRSTY).select("cui", "tui").withColumn("line_no", F.monotonically_increasing_id())
+    return _pipe(spark, path, _MRSTY).select("cui", "tui", line_place().alias("line_no"))
 
 
 def read_semgroups(spark: SparkSession, path: str) -> DataFrame:

@@ -177,3 +177,42 @@ def test_sinks_and_file_readers(spark):
     files.write_id_csv(d.select("doc_id"), os.path.join(root, "ids"), "doc_id")
     assert files.read_id_list(spark, os.path.join(root, "ids")).count() == 20
     d.unpersist()
+
+
+def test_last_line_wins_over_several_files(spark, tmp_path):
+    """Files of different sizes, split and dealt in any order: their names and lines decide."""
+    from pyspark.sql import functions as F
+
+    from noteweave.operators import study
+    from noteweave.sources import files
+
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    sizes = {"a.txt": 3, "b.txt": 4000, "c.txt": 1, "d.txt": 700}
+    want = []
+    for name, n in sizes.items():
+        lines = [f"{name}-{i}\tC{i % 5}" for i in range(n)]
+        want += [line.split("\t") for line in lines]
+        (folder / name).write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = study.concepts_from_tsv(spark, str(folder)).orderBy("ord").collect()
+        last = {r.cui: r.name for r in study.concepts_from_tsv(spark, str(folder)).groupBy("cui").agg(F.max_by("name", "ord").alias("name")).collect()}
+        (folder / "x.rrf").write_text("C1|T1|a|b|c|d|\nC1|T2|a|b|c|d|\n")
+        sty = files.read_mrsty(spark, str(folder / "x.rrf"))
+        assert sty.groupBy("cui").agg(F.max_by("tui", "line_no").alias("t")).collect()[0].t == "T2"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [[r.name, r.cui] for r in rows] == want
+    assert last == {c: n for n, c in want}
+
+
+def test_sample_and_envelope_are_plans(spark):
+    from noteweave.operators import search
+
+    saved = spark.range(1000).selectExpr("'t' as transaction_id", "cast(id as string) as id")
+    assert search.training_sample(saved).count() == 100 and search.training_sample(saved, max_n=20).count() == 20
+    assert search.training_sample(saved.limit(9)).count() == 0
+    header, rows = search.result_envelope(saved, "t")
+    assert header.collect()[0].asDict() == {"success": True, "num_results": 1000, "transactionId": "t"} and rows is saved
