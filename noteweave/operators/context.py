@@ -88,7 +88,8 @@ def sentence_texts(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     a copy of its text for every SHARED of them.
 
     C5: a mention whose text is not its string moves to the nearest whole-word occurrence of the string (ties: the
-    earlier); without one, or if the place itself holds the string, it stays.
+    earlier); without one, or if the place itself holds the string, it stays.  Mentions without sentences
+    (no ``sent_start`` column) get the offset only, null where they stay.
     """
     from pyspark import cloudpickle
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -100,7 +101,9 @@ def sentence_texts(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     both = d.unionByName(m.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
     both = both.repartition("doc_id", "_part").sortWithinPartitions("doc_id", "_part", "_kind")
 
-    added = [T.StructField("offset", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("_ctx", "_prev", "_next", "_pp", "_nn"))]
+    placed = "sent_start" in mentions.columns
+    added = [T.StructField("offset", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("_ctx", "_prev", "_next", "_pp", "_nn") if placed)]
+    needed = ["doc_id", "_part", "_kind", "start_pos", "end_pos", "str", *(["sent_start", "sent_end", *_SPANS] if placed else [])]
     schema = T.StructType([*mentions.schema.fields, *added])
     arrow, kept, find, nearest, part = to_arrow_schema(schema), mentions.columns, L, _nearest, _part
 
@@ -108,7 +111,7 @@ def sentence_texts(mentions: DataFrame, docs: DataFrame) -> DataFrame:
         key, text, low, places = None, None, None, {}
         for b in batches:
             out = []
-            cols = {c: b.column(c).to_pylist() for c in ("doc_id", "_part", "_kind", "start_pos", "end_pos", "str", "sent_start", "sent_end", *_SPANS)}
+            cols = {c: b.column(c).to_pylist() for c in needed}
             for k in range(len(b)):
                 here = (cols["doc_id"][k], cols["_part"][k])
                 if here != key:
@@ -116,15 +119,19 @@ def sentence_texts(mentions: DataFrame, docs: DataFrame) -> DataFrame:
                 if cols["_kind"][k] == 0:
                     text, low, places = b.column("text")[k].as_py(), None, {}
                     continue
-                a, e, word, s0, s1 = (cols[c][k] for c in ("start_pos", "end_pos", "str", "sent_start", "sent_end"))
-                offset = 0
+                a, e, word = (cols[c][k] for c in ("start_pos", "end_pos", "str"))
+                s0, s1 = (cols["sent_start"][k], cols["sent_end"][k]) if placed else (0, 0 if text is None else len(text))
+                offset = 0 if placed else None
                 if None not in (text, a, e, word, s0, s1) and part(text, a, e) != word and part(part(text, s0, s1), a - s0, e - s0).lower() != word.lower():
                     if word not in places:
                         low = find.fold(text) if low is None else low
                         x = find.fold(word)
                         places[word] = list(find._matches(text, find.find_all(low, [x]).get(x, ()), len(word), True))
                     to = nearest(places[word], a)
-                    offset = 0 if to is None else to - a
+                    offset = offset if to is None else to - a
+                if not placed:
+                    out.append((k, offset))
+                    continue
                 spans = [cols[c][k] for c in _SPANS]
                 own = [part(text, *(None if x is None else x + offset for x in (s0, s1)))]
                 own += [None if x is None else part(text, *(None if y is None else y + offset for y in x.values())) for x in spans]
