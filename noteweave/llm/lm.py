@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .bwt_dedup import large as from_40_bits
+from .bwt_dedup import small as to_40_bits
 from .common import release, shared_dir, stored
 from .shards import SHARD_BYTES, Shards, bytes_to_rows, pack, unpack
 
@@ -251,16 +253,17 @@ def pair_counts(rows: pa.RecordBatch, v: Vocabulary, mod: int) -> tuple[np.ndarr
 
 
 def pair_message(rows: pa.RecordBatch, v: Vocabulary, parts: int, mod: int):
+    """The keys, 40 bits of each within its partition, and their counts."""
     u, n = pair_counts(rows, v, mod)
     cuts = np.searchsorted(by_partition(u, parts), np.arange(parts + 1).astype(U64))
     for p in range(parts):
         if cuts[p] < cuts[p + 1]:
-            yield p, pack(u[cuts[p]: cuts[p + 1]], small(n[cuts[p]: cuts[p + 1]]))
+            yield p, pack(to_40_bits(u[cuts[p]: cuts[p + 1]]), small(n[cuts[p]: cuts[p + 1]]))
 
 
 def pair_answer(messages: list[bytes]):
     """Total of each key asked for."""
-    got = [unpack(m) for m in messages]
+    got = [(from_40_bits(keys), n) for keys, n in map(unpack, messages)]
     u, n = counted(np.concatenate([g[0] for g in got]), np.concatenate([g[1].astype(np.int64) for g in got]))
     for g in got:
         yield pack(small(n[np.searchsorted(u, g[0])]))
