@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import id_text, shared_dir, ship, stored
+from .common import arrow_rows, id_text, shared_dir, ship, stored
 from .graph import components
 
 U64 = np.uint64
@@ -33,6 +33,8 @@ HASHES = CHUNKS * IN_CHUNK
 BLOCK = 256
 #: Shingles of a pair of blocks that are counted at once.
 SLAB = 4096
+#: Values of all sets of a block that are compared at once.
+VALUES = 1 << 20
 
 #: Probability that a pair at the least similarity meets under no key, at most; chunks that can be had for it.
 MISS, MOST_CHUNKS = 1e-5, 32
@@ -131,10 +133,10 @@ def key_rows(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
-    """For each set the first set that it reaches through links; with ``side``, only sets of different sides are compared."""
-    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
-    values, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+def _shared(common: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Adds how many values each two sets share."""
+    n = len(sets)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     same = np.zeros(len(values) + 1, bool)
@@ -142,9 +144,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.
     shared = same[1:] | same[:-1]
     code = np.cumsum(~same[:-1])[shared]
     owner = owner[shared]
-    code = code - code[0] if len(code) else code
     code = np.cumsum(np.r_[False, code[1:] != code[:-1]]) if len(code) else code
-    common = np.zeros((n, n), np.float64)
     cuts = np.searchsorted(code, np.arange(0, (code[-1] if len(code) else -1) + SLAB + 1, SLAB))
     for k in range(len(cuts) - 1):
         some, who = code[cuts[k]: cuts[k + 1]] - k * SLAB, owner[cuts[k]: cuts[k + 1]]
@@ -152,6 +152,18 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.
             m = np.zeros((n, SLAB if some[-1] + 1 > 256 else 256), np.float32)
             m[who, some] = 1
             common += m @ m.T
+
+
+def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
+    """For each set the first set that it reaches through links; with ``side``, only sets of different sides are compared."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    common = np.zeros((n, n), np.float64)
+    # sets are ascending: some values at a time, so that memory stays near that of the sets themselves
+    steps = max(1, -(-int(sizes.sum()) // VALUES))
+    marks = [U64(k * ((1 << 64) // steps)) for k in range(1, steps)]
+    cuts = np.array([np.r_[0, np.searchsorted(x, np.array(marks, U64)), len(x)] for x in sets])
+    for k in range(steps):
+        _shared(common, [x[c[k]: c[k + 1]] for x, c in zip(sets, cuts)])
     link = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
     if side is not None:
         link &= side[:, None] != side[None, :]
@@ -181,7 +193,7 @@ def confirm(members: DataFrame, percent: int) -> DataFrame:
 
         for b in batches:
             out_a, out_b = [], []
-            for row in zip(*(b.column(c).to_pylist() for c in ("grp", "i", "j", "side", "rep", "shingles"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("grp", "i", "j", "side", "rep")), (x.as_py() for x in b.column("shingles"))):
                 if row[:3] != key:
                     a, z = done()
                     out_a += a
@@ -238,7 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "rep", "shingles")
     # a block is compared with itself once; a pair of different blocks gets both of them
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    links = stored(confirm(pairs.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep"), percent), folder, "links")
+    with arrow_rows(spark, BLOCK):  # a row is a text or its whole set
+        links = stored(confirm(pairs.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep"), percent), folder, "links")
 
     found = stored(components(links, folder, "links"), folder, "components")
     ends = classes.select("k1", "k2", F.col("n_shingles").alias("n"), "rep").join(found, classes.rep == found.node, "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("smallest"))

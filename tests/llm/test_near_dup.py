@@ -84,3 +84,18 @@ def test_components(spark):
                 low[a] = low[b] = min(low[a], low[b])
     got = components(spark.createDataFrame(edges, "a long, b long"), shared_dir(spark), "t").collect()
     assert {r.node: r.component for r in got} == low and len(got) == len(low)
+
+
+@pytest.mark.parametrize("values", [1, 64, 1 << 20])
+def test_blocks_compared_in_ranges_of_values(monkeypatch, values):
+    monkeypatch.setattr(near_dup, "VALUES", values if values > 1 else 40)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 64, 60, dtype=np.uint64)) for _ in range(6)]
+    sets += [np.sort(np.r_[s[:-3], rng.integers(0, 1 << 64, 3, dtype=np.uint64)]) for s in sets[:4]] + [np.array([0, (1 << 64) - 1], np.uint64), np.array([(1 << 64) - 1], np.uint64)]
+    label = near_dup.linked(sets, None, 85)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            common = len(np.intersect1d(x, y))
+            if 100 * common >= 85 * (len(x) + len(y) - common):
+                assert label[i] == label[j]
+    assert len(set(label.tolist())) == 8
