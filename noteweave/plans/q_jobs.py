@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..functions.partitioning import spread
 from ..operators import jobs
 from ..sources import nlp_json
 from ..streaming.incremental import JobStatus, next_window, window_filter
@@ -60,12 +61,10 @@ union all select cast(doc_id as varchar), 'Sentence', 'sent-3', s0, e0, cast(1 a
 def raw_json_load(spark, sf_dir):
     """S4 + S12 + S5: parse JSON lines (repairing broken quotes), then typed rows with
     encounter-order ids; sentences ranked by start (rank in ``str``)."""
-    docs, _bad = nlp_json.parse_lines(raw_lines(inputs.view(spark, sf_dir, "f_note")))
-    m, p, s = nlp_json.load_annotations(docs)
-    return (m.select("doc_id", F.lit("Mention").alias("kind"), "id", "start_pos", "end_pos", "str")
-            .unionByName(p.select("doc_id", F.lit("Phenotype").alias("kind"), "id", "start_pos", "end_pos", "str"))
-            .unionByName(s.select("doc_id", F.lit("Sentence").alias("kind"), "id", "start_pos", "end_pos",
-                                  F.col("sent_no").cast("string").alias("str"))))
+    docs, _bad = nlp_json.parse_lines(raw_lines(spread(inputs.view(spark, sf_dir, "f_note"))))
+    rows = nlp_json.annotation_rows(docs)
+    shown = F.when(F.col("kind") == "Sentence", F.col("ann_no").cast("string")).otherwise(F.col("str"))
+    return rows.select("doc_id", "kind", "id", "start_pos", "end_pos", shown.alias("str"))
 
 
 @register("raw_json_quarantine", "select 0 as n_quarantined")

@@ -54,10 +54,12 @@ def parse_lines(lines: DataFrame, key_col: str | None = None) -> tuple[DataFrame
     ``doc_id`` is ``docId`` from the line, or ``key_col`` (e.g. a file stem, S3).
     """
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    first = lines.withColumn("_p", F.from_json("value", RAW_DOC, opts))
+    # a generator keeps the filters on its output behind it: else each of them would parse the line again
+    lines = lines.select(*[c for c in lines.columns if c != "value"], F.explode_outer(F.array("value")).alias("value"))
+    first = lines.select("*", F.explode_outer(F.array(F.from_json("value", RAW_DOC, opts))).alias("_p"))
     bad = F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull()
-    second = first.withColumn("_p", F.when(bad, F.from_json(repair_json(F.col("value")), RAW_DOC, opts))
-                              .otherwise(F.col("_p")))
+    again = F.when(bad, F.from_json(repair_json(F.col("value")), RAW_DOC, opts)).otherwise(F.col("_p"))
+    second = first.select(*lines.columns, F.explode_outer(F.array(again)).alias("_p"))
     still = F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull()
     doc_id = F.col(key_col) if key_col else F.col("_p.docId")
     ok = second.where(~still).select(doc_id.alias("doc_id"), F.col("_p.annotations").alias("annotations"))
@@ -78,35 +80,46 @@ def _typed(flat: Column, kind: str) -> Column:
     return F.filter(flat, lambda a: a["type"] == kind)
 
 
-def load_annotations(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(mentions, phenotypes, sentences) from raw documents."""
+#: Columns of the mention, phenotype and sentence rows of S5.
+_CONTEXT = ["start_pos", "end_pos", "str", "negation", "temporality", "experiencer"]
+_OWN = {"Mention": ["doc_id", "ann_no", "id", *_CONTEXT, "cui", "sty", "pref"],
+        "Phenotype": ["doc_id", "ann_no", "id", *_CONTEXT, "major_type", "minor_type"]}
+
+
+def annotation_rows(docs: DataFrame) -> DataFrame:
+    """S5 as one table, for which a document is read once: ``kind`` is Mention, Phenotype or Sentence.
+
+    ``ann_no`` is the number in encounter order, of a sentence its rank by start (ties: by end, then encounter).
+    """
     flat = F.flatten(F.col("annotations"))
-    d = docs.select("doc_id", _typed(flat, "Mention").alias("m"), _typed(flat, "Phenotype").alias("p"),
-                    _typed(flat, "Sentence").alias("s"))
-
-    def ctx(a):
-        f = a["features"]
-        return [a["startNode"]["offset"].alias("start_pos"), a["endNode"]["offset"].alias("end_pos"),
-                f["string_orig"].alias("str"), f["Negation"].alias("negation"),
-                f["Temporality"].alias("temporality"), f["Experiencer"].alias("experiencer")]
-
-    mentions = d.select("doc_id", F.posexplode("m").alias("i", "a")).select(
-        "doc_id", (F.col("i") + 1).cast("int").alias("ann_no"),
-        F.concat(F.lit("cui-"), (F.col("i") + 1).cast("string")).alias("id"), *ctx(F.col("a")),
-        F.col("a.features.inst").alias("cui"), F.col("a.features.STY").alias("sty"),
-        F.col("a.features.PREF").alias("pref"))
-    phenotypes = d.select("doc_id", F.posexplode("p").alias("i", "a")).select(
-        "doc_id", (F.col("i") + 1).cast("int").alias("ann_no"),
-        F.concat(F.lit("phe-"), (F.col("i") + 1).cast("string")).alias("id"), *ctx(F.col("a")),
-        F.col("a.features.majorType").alias("major_type"), F.col("a.features.minorType").alias("minor_type"))
+
+    def rows(kind, prefix):
+        def row(a, i):
+            f = a["features"]
+            return F.struct(F.lit(kind).alias("kind"), (i + 1).cast("int").alias("ann_no"), F.concat(F.lit(prefix), (i + 1).cast("string")).alias("id"),
+                            a["startNode"]["offset"].alias("start_pos"), a["endNode"]["offset"].alias("end_pos"),
+                            f["string_orig"].alias("str"), f["Negation"].alias("negation"), f["Temporality"].alias("temporality"),
+                            f["Experiencer"].alias("experiencer"), f["inst"].alias("cui"), f["STY"].alias("sty"), f["PREF"].alias("pref"),
+                            f["majorType"].alias("major_type"), f["minorType"].alias("minor_type"))
+        return F.transform(_typed(flat, kind), row)
+
+    none = F.lit(None).cast("string")
     # encounter number for the id, rank by start for sent_no
-    sents = d.select("doc_id", F.transform("s", lambda a, i: F.struct(
-        a["startNode"]["offset"].alias("start_pos"), a["endNode"]["offset"].alias("end_pos"),
-        (i + 1).alias("enc"))).alias("s"))
-    sentences = sents.select("doc_id", F.posexplode(F.array_sort("s")).alias("r", "x")).select(
-        "doc_id", (F.col("r") + 1).cast("int").alias("sent_no"),
-        F.concat(F.lit("sent-"), F.col("x.enc").cast("string")).alias("id"),
-        F.col("x.start_pos").alias("start_pos"), F.col("x.end_pos").alias("end_pos"))
+    spans = F.transform(_typed(flat, "Sentence"), lambda a, i: F.struct(
+        a["startNode"]["offset"].alias("start_pos"), a["endNode"]["offset"].alias("end_pos"), (i + 1).alias("enc")))
+    sentences = F.transform(F.array_sort(spans), lambda x, r: F.struct(
+        F.lit("Sentence").alias("kind"), (r + 1).cast("int").alias("ann_no"), F.concat(F.lit("sent-"), x["enc"].cast("string")).alias("id"),
+        x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), *(none.alias(n) for n in
+        ("str", "negation", "temporality", "experiencer", "cui", "sty", "pref", "major_type", "minor_type"))))
+    every = F.concat(rows("Mention", "cui-"), rows("Phenotype", "phe-"), sentences)
+    return docs.select("doc_id", F.explode_outer(every).alias("a")).where(F.col("a").isNotNull()).select("doc_id", "a.*")
+
+
+def load_annotations(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mentions, phenotypes, sentences) from raw documents, as three frames (see ``annotation_rows``)."""
+    rows = annotation_rows(docs)
+    mentions, phenotypes = (rows.where(F.col("kind") == k).select(*cols) for k, cols in _OWN.items())
+    sentences = rows.where(F.col("kind") == "Sentence").select("doc_id", F.col("ann_no").alias("sent_no"), "id", "start_pos", "end_pos")
     return mentions, phenotypes, sentences
 
 
