@@ -9,6 +9,11 @@ The threshold is calibrated by language on rows that training has not seen.  The
 language is read off the text's function words, never off a column; the logit is shifted
 by the language's threshold, so that 0.5 is the decision for every text.
 
+The network learns from all labelled texts: it starts on a sample in the driver (PER_CLASS of each
+class), and if there are more, goes on from there over all of them, dealt to tasks by their ids; the
+tasks' networks are averaged.  The thresholds come from all calibration rows, counted by language,
+label and place of the logit.
+
 For scoring, embeddings and filters are multiplied once into a table of filter responses
 by bucket, and each distinct word of a piece of text is looked up once.
 """
@@ -16,19 +21,25 @@ by bucket, and each distinct word of a piece of text is looked up once.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import annotate, fold, labelled_sample
+from .common import annotate, arrow_rows, fold, labelled_ids, labelled_sample, labelled_texts, ship
 
 U64 = np.uint64
 BUCKETS, DIM = 1 << 16, 12
 #: Lengths, in bytes, of the beginnings that have embeddings of their own.
 STEMS = (4, 5, 6, 7, 8)
 WIDTHS, FILTERS = (1, 2, 3), 8
-#: Labelled documents of each class used for training and calibration, at most.
+#: Labelled documents of each class with which training starts, at most; the others follow in parts of PART documents.
 PER_CLASS = 2500
+PART = 1500
+#: Places of a logit told apart when thresholds are chosen, by unit; and the largest place.
+PLACES, FAR = 64, 1 << 13
+#: Numbers of a network that travel together when networks are averaged.
+SLICE = 1 << 15
 EPOCHS, BATCH, RATE = 6, 32, 0.08
 #: Share of words left out of each training step, anew each time, so that no word relies on its company.
 DROPPED = 0.4
@@ -168,18 +179,33 @@ class Cnn:
             s += d * d
             p -= RATE * d / np.sqrt(s + 1e-8)
 
-    def fit(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 0) -> None:
+    def fit(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+        """Train on some texts; the sums of squared gradients, with which training can go on."""
         rng = np.random.default_rng(seed)
         squares = [np.full_like(p, 1e-3) for p in self.parameters()]
         embedding_squares = np.full_like(self.embedding, 1e-4)
         for _ in range(EPOCHS):
-            order = rng.permutation(len(y))
-            for k in range(0, len(y), BATCH):
-                own = order[k: k + BATCH]
-                t = joined([texts[i] for i in own])
-                kept = rng.random(len(t.text)) >= DROPPED
-                t.text, t.word = t.text[kept], t.word[kept]
-                self.step(t, y[own], weight[own], squares, embedding_squares)
+            self.epoch(texts, y, weight, squares, embedding_squares, rng)
+        return squares, embedding_squares
+
+    def epoch(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, squares: list[np.ndarray], embedding_squares: np.ndarray, rng: np.random.Generator) -> None:
+        order = rng.permutation(len(y))
+        for k in range(0, len(y), BATCH):
+            own = order[k: k + BATCH]
+            t = joined([texts[i] for i in own])
+            kept = rng.random(len(t.text)) >= DROPPED
+            t.text, t.word = t.text[kept], t.word[kept]
+            self.step(t, y[own], weight[own], squares, embedding_squares)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in (self.embedding, *self.parameters())])
+
+    def take(self, values: np.ndarray) -> None:
+        """Set all that is learnt from what ``flat`` gives."""
+        at = 0
+        for p in (self.embedding, *self.parameters()):
+            p[...] = values[at: at + p.size].reshape(p.shape)
+            at += p.size
 
     def logits(self, t: Text, table: np.ndarray) -> np.ndarray:
         e, parts, at = t.summed(table), [], 0
@@ -188,12 +214,16 @@ class Cnn:
             at += w * FILTERS
         return self.logit(self.pooled(t, parts)[0]).astype(float)
 
-    def calibrate(self, z: np.ndarray, y: np.ndarray, weight: np.ndarray, language: np.ndarray) -> None:
-        """Thresholds of least weighted error, for each language with enough rows; others take that of all."""
+    def calibrate(self, z: np.ndarray, y: np.ndarray, weight: np.ndarray, language: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Thresholds of least weighted error, for each language with enough rows; others take that of all.
+
+        ``rows``: for how many rows each value stands, if not for one.
+        """
+        rows = np.ones(len(z)) if rows is None else rows
         common = threshold(z, y, weight)
         for k in range(len(self.thresholds)):
             own = language == k
-            enough = min((own & (y > 0)).sum(), (own & (y == 0)).sum()) >= LEAST
+            enough = min(rows[own & (y > 0)].sum(), rows[own & (y == 0)].sum()) >= LEAST
             self.thresholds[k] = threshold(z[own], y[own], weight[own]) if enough else common
 
     def probability(self, t: Text, table: np.ndarray) -> np.ndarray:
@@ -229,20 +259,27 @@ class Constant:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", mod: int = 5, text_col: str = "text", id_col: str = "doc_id"):
-    """A network from at most PER_CLASS whole labelled texts of each class whose fold is not 0."""
+    """A network from all whole labelled texts whose fold is not 0."""
     sample, sizes = labelled_sample(docs, labels, label_col, mod, PER_CLASS, id_col, text_col)
-    rows = sample.toPandas().sort_values(["id", "text"])  # at most 2 * PER_CLASS texts
+    more = max(sizes.values(), default=0) > PER_CLASS  # the sample is not all
+    rows = sample.withColumn("kept", _calibrates()).toPandas().sort_values(["id", "text"])  # at most 2 * PER_CLASS texts
     y = rows["y"].to_numpy(float)
     if len(set(y)) < 2:
         return Constant((sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2))
     texts = [x.encode() for x in rows["text"]]
     natural = np.where(y > 0, sizes[1] / (y > 0).sum(), sizes[0] / (y == 0).sum())
     even = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y == 0).sum()))
-    kept = np.random.default_rng(1).random(len(y)) < CALIBRATION_SHARE
+    kept = rows["kept"].to_numpy(bool).copy() if more else np.random.default_rng(1).random(len(y)) < CALIBRATION_SHARE
     if min((kept & (y > 0)).sum(), (kept & (y == 0)).sum(), (~kept & (y > 0)).sum(), (~kept & (y == 0)).sum()) < 1:
         kept[:] = False
     net = Cnn()
-    net.fit([t for t, k in zip(texts, kept) if not k], y[~kept], even[~kept])
+    state = net.fit([t for t, k in zip(texts, kept) if not k], y[~kept], even[~kept])
+    if more:
+        every = labelled_texts(docs, labelled_ids(labels, label_col, mod, id_col), -(-sum(sizes.values()) // PART), id_col, text_col)
+        with arrow_rows(docs.sparkSession, 1000):
+            _go_on(every.filter(~_calibrates()) if kept.any() else every, net, state, sizes)
+            _calibrate(every.filter(_calibrates()) if kept.any() else every, net)
+        return net
     own = kept if kept.any() else ~kept
     table, z, language = net.tables(), [], []
     some = [t for t, k in zip(texts, own) if k]
@@ -254,6 +291,80 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", mod: int
     return net
 
 
+def _calibrates():
+    """Whether a row is for the thresholds and not for training: a fixed share of the ids by their hash."""
+    return F.pmod(F.xxhash64(F.lit("calibration"), F.col("id")), F.lit(1000)) < int(1000 * CALIBRATION_SHARE)
+
+
+def _go_on(rows: DataFrame, net: Cnn, state: tuple, sizes: dict[int, int]) -> None:
+    """One pass over all rows: each task goes on from the network it is given; the tasks' networks are averaged by their rows.
+
+    Averages are made by slices of the network, so that one network reaches the driver, however many tasks there are.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast((net, state))
+    even = [sum(sizes.values()) / (2 * sizes[k]) for k in (0, 1)]
+
+    def learn(batches):
+        own, (squares, embedding_squares) = sent.value
+        model, rng, n = Cnn(), np.random.default_rng(0), 0
+        model.take(own.flat())
+        squares, embedding_squares = [s.copy() for s in squares], embedding_squares.copy()
+        for b in batches:
+            y = b.column("y").to_numpy().astype(float)
+            model.epoch([x.encode() for x in b.column("text").to_pylist()], y, np.where(y > 0, even[1], even[0]), squares, embedding_squares, rng)
+            n += len(y)
+        if n:
+            values = model.flat()
+            cuts = range(0, len(values), SLICE)
+            yield pa.RecordBatch.from_arrays([pa.array([at // SLICE for at in cuts], pa.int32()), pa.array([n] * len(cuts), pa.int64()),
+                                              pa.array([values[at: at + SLICE].tobytes() for at in cuts], pa.binary())], ["slice", "n", "v"])
+
+    def average(batches):
+        sums: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
+        for b in batches:
+            for k, n, v in zip(*(b.column(c).to_pylist() for c in ("slice", "n", "v"))):
+                sums[k] = sums.get(k, 0) + n * np.frombuffer(v, np.float32).astype(float)
+                counts[k] = counts.get(k, 0) + n
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(counts.values()), pa.int64()),
+                                              pa.array([(sums[k] / counts[k]).astype(np.float32).tobytes() for k in sums], pa.binary())], ["slice", "n", "v"])
+
+    schema = "slice int, n long, v binary"
+    # sorted by slice, so that the order of the sum, and with it the result, is that of the weights and bytes
+    parts = rows.mapInArrow(learn, schema).repartition("slice").sortWithinPartitions("slice", "n", "v")
+    got = {r["slice"]: r["v"] for r in parts.mapInArrow(average, schema).collect()}
+    if got:
+        net.take(np.frombuffer(b"".join(got[k] for k in sorted(got)), np.float32))
+    sent.unpersist()
+
+
+def _calibrate(rows: DataFrame, net: Cnn) -> None:
+    """The thresholds from all rows, as counts by language, label and place of the logit."""
+    spark = rows.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast((net, net.tables()))
+
+    def count(batches):
+        model, table = sent.value
+        for b in batches:
+            y = b.column("y").to_numpy().astype(np.int64)
+            for i, j, data, ends in K.pieces(*K.texts(b.column("text")), PIECE):
+                t = Text(data, ends)
+                place = np.clip(np.floor(model.logits(t, table) * PLACES), -FAR, FAR).astype(np.int64)
+                some, n = np.unique(np.stack([t.language, y[i:j], place]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in some), pa.array(n, pa.int64())], ["language", "y", "place", "n"])
+
+    got = rows.mapInArrow(count, "language long, y long, place long, n long").groupBy("language", "y", "place").agg(F.sum("n").alias("n"))
+    got = got.toPandas().sort_values(["place", "y", "language"])
+    if len(got):
+        n = got["n"].to_numpy(float)
+        net.calibrate((got["place"].to_numpy() + 0.5) / PLACES, got["y"].to_numpy(float), n, got["language"].to_numpy(), n)
+    sent.unpersist()
+
+
 def score(docs: DataFrame, net, text_col: str = "text", name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the calibrated probability, from the text alone."""
     sent = docs.sparkSession.sparkContext.broadcast((net, net.tables()))

@@ -46,3 +46,32 @@ def test_language_and_threshold():
     assert [X.LANGUAGES[k] for k in X.joined([s.encode() for s in ("The cat is on it", "le chat est dans la rue", "el gato y los perros", "der Hund und die Katze")]).language] == ["en", "fr", "es", "de"]
     assert X.joined([b"xyzzy", b""]).language.tolist() == [len(X.LANGUAGES)] * 2
     assert 2 < X.threshold(np.array([1.0, 2, 3, 4]), np.array([0, 0, 1, 1.0]), np.ones(4)) < 3
+
+
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    """With a small sample to start with, a word that only rows outside the sample hold is learnt, and thresholds count every calibration row."""
+    monkeypatch.setattr(X, "PER_CLASS", 40)
+    monkeypatch.setattr(X, "PART", 1500)
+    rows = [(i, f"calm words of day n{i % 50} " + ("vile " if i % 2 else "kind "), i % 2) for i in range(6000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    seen = []
+    real = X.Cnn.calibrate
+    monkeypatch.setattr(X.Cnn, "calibrate", lambda net, z, y, w, language, n=None: (seen.append(0 if n is None else n.sum()), real(net, z, y, w, language, n))[1])
+    first = X.train(docs, labels)
+    # 80 rows in the sample, about 4,800 in training, 30 % of them for the thresholds
+    assert 1200 < seen[0] < 1700
+    again = X.train(docs, labels)
+    assert np.array_equal(first.flat(), again.flat()) and np.array_equal(first.thresholds, again.thresholds)
+    got = X.toxicity(docs, labels).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out]) > 0.99
+
+
+def test_counted_rows_calibrate_like_single_rows():
+    z, y = np.array([0.5, 1.5, 2.5, 3.5]), np.array([0, 0, 1, 1.0])
+    n, language = np.array([30.0, 2, 25, 9]), np.zeros(4, int)
+    a, b = X.Cnn(), X.Cnn()
+    a.calibrate(z, y, n, language, n)
+    k = n.astype(int)
+    b.calibrate(np.repeat(z, k), np.repeat(y, k), np.ones(k.sum()), np.repeat(language, k))
+    assert np.array_equal(a.thresholds, b.thresholds)
