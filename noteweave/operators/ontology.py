@@ -105,7 +105,8 @@ def rel_table(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- U3
 
 def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame | None = None,
-                      root_keys: Sequence[str] = (), starts: DataFrame | None = None) -> DataFrame:
+                      root_keys: Sequence[str] = (), starts: DataFrame | None = None,
+                      same: tuple[int, Sequence[str], bool] | None = None) -> DataFrame:
     """U3 for many roots at once -> ``(*root_keys, root, cui, depth)``.
 
     Per root: ``qdepth`` limits the distance (0 = the root only), ``qstop``
@@ -114,8 +115,12 @@ def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame
     the root (a failing child is not descended); it needs ``cui_groups``.
     Depth is the shortest distance (breadth-first); the walk goes on until the
     frontier is empty, so without a ``qdepth`` the closure is complete.
+    ``same`` gives one (qdepth, qstop, qonlysty) for all roots in place of
+    columns: a level then needs no join with the roots' settings.  The joins of
+    a level are merge joins, so no side of them passes through the driver.
     """
     keys = list(root_keys) + ["root"]
+    limit, stop, only = same or (NO_LIMIT, (), False)
     cols = roots.columns
     r = roots
     if "qdepth" not in cols:
@@ -123,7 +128,7 @@ def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame
     if "qstop" not in cols:
         r = r.withColumn("qstop", F.array().cast("array<string>"))
     if "qonlysty" not in cols:
-        r = r.withColumn("qonlysty", F.lit(False))
+        r = r.withColumn("qonlysty", F.lit(only))
     r = r.select(*keys, F.col("qdepth").cast("int").alias("qdepth"), "qstop", "qonlysty").dropDuplicates(keys)
     if cui_groups is not None:
         g = cui_groups.select(F.col("cui").alias("root"), F.col("tuigroups").alias("root_groups"))
@@ -131,7 +136,7 @@ def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame
     r = r.withColumn("root_groups", F.coalesce(
         F.col("root_groups") if cui_groups is not None else F.lit(None).cast("array<string>"),
         F.array().cast("array<string>")))
-    if cui_groups is None and "qonlysty" in cols and not r.where("qonlysty").isEmpty():
+    if cui_groups is None and (only or "qonlysty" in cols) and not r.where("qonlysty").isEmpty():
         raise ValueError("qonlysty needs the type groups of the CUIs")
     spark = roots.sparkSession
     ensure_checkpoint_dir(spark)
@@ -152,18 +157,23 @@ def closure_for_roots(roots: DataFrame, edges: DataFrame, cui_groups: DataFrame
     depth = 0
     while True:
         depth += 1
-        step = (level.select(*keys, "cui").join(e, "cui")
-                .join(params.where(F.col("qdepth") >= depth), keys)
-                .where(~F.array_contains("qstop", F.col("child"))))
-        if child_groups is not None:
-            step = (step.join(child_groups, "child", "left")
+        if depth > limit:
+            break
+        step = level.select(*keys, "cui").join(e.hint("merge"), "cui")
+        if stop:
+            step = step.where(~F.col("child").isin(list(stop)))
+        if same is None or only:
+            step = (step.join(params.where(F.col("qdepth") >= depth).hint("merge"), keys)
+                    .where(~F.array_contains("qstop", F.col("child"))))
+        if child_groups is not None and (same is None or only):
+            step = (step.join(child_groups.hint("merge"), "child", "left")
                     .where(~F.col("qonlysty") | F.coalesce(
                         F.arrays_overlap("root_groups", "child_groups"), F.lit(False))))
         visited = levels[0].select(*keys, "cui")
         for lv in levels[1:]:
             visited = visited.unionByName(lv.select(*keys, "cui"))
         level = (step.select(*keys, F.col("child").alias("cui")).distinct()
-                 .join(visited, keys + ["cui"], "left_anti")
+                 .join(visited.hint("merge"), keys + ["cui"], "left_anti")
                  .withColumn("depth", F.lit(depth))).checkpoint()
         if level.isEmpty():
             break
@@ -191,10 +201,7 @@ def narrower_closure(edges: DataFrame, roots: DataFrame, depth: int = NO_LIMIT,
                      prune: Sequence[str] = (), same_group: bool = False,
                      cui_groups: DataFrame | None = None) -> DataFrame:
     """U3 with one setting for every root in ``roots(root)``."""
-    r = roots.select("root").distinct().withColumn("qdepth", F.lit(depth)) \
-        .withColumn("qstop", F.array(*[F.lit(p) for p in prune]).cast("array<string>")) \
-        .withColumn("qonlysty", F.lit(same_group))
-    return closure_for_roots(r, edges, cui_groups)
+    return closure_for_roots(roots.select("root").distinct(), edges, cui_groups, same=(depth, tuple(prune), same_group))
 
 
 def expansion_sizes(edges: DataFrame, roots: DataFrame, cui_groups: DataFrame,
