@@ -63,6 +63,15 @@ def java_match(patterns: Sequence[str], case_sensitive: bool) -> str:
     return f"(?{flags})\\A(?:" + "|".join(patterns) + ")"
 
 
+def matches(text: Column, patterns: Sequence[str], case_sensitive: bool) -> Column:
+    """``java_match`` on a text; one of ASCII characters only has no use for Unicode classes, which are much slower."""
+    plain = "|".join(patterns)
+    if not plain.isascii():
+        return text.rlike(java_match(patterns, case_sensitive))
+    ascii_form = f"(?d{'' if case_sensitive else 'i'})\\A(?:{plain})"
+    return F.when(F.length(text) == F.octet_length(text), text.rlike(ascii_form)).otherwise(text.rlike(java_match(patterns, case_sensitive)))
+
+
 #: Mentions of one document that share a copy of its text.
 SHARED = 50_000
 _SPANS = ("p", "n", "pp", "nn")
@@ -184,7 +193,7 @@ def context_frame(mentions: DataFrame, sentences: DataFrame, docs: DataFrame,
     d = docs.select("doc_id",
                     py_slice(F.col("text"), 0, HEAD_CHARS).alias("head"),
                     (F.array(*lits) if lits else F.array().cast("array<int>")).alias("cut_pos"))
-    hits = [F.coalesce(F.col("head").rlike(java_match(r.wrapped(), r.case_sensitive)), F.lit(False)) for r in head_rules]
+    hits = [F.coalesce(matches(F.col("head"), r.wrapped(), r.case_sensitive), F.lit(False)) for r in head_rules]
     d = d.withColumn("head_hits", F.array(*hits) if hits else F.array().cast("array<boolean>"))
     m = (mentions.join(ms, ["doc_id", "ann_no"], "left")
          .join(nbr.withColumnRenamed("start_pos", "sent_start").withColumnRenamed("end_pos", "sent_end"),
@@ -242,7 +251,7 @@ def _rule_compare(rule: ContextRule) -> Column:
 
 def rule_hit(rule: ContextRule) -> Column:
     """Whether any pattern of one list rule matches its context."""
-    return F.coalesce(_rule_compare(rule).rlike(java_match(rule.wrapped(), rule.case_sensitive)), F.lit(False))
+    return F.coalesce(matches(_rule_compare(rule), rule.wrapped(), rule.case_sensitive), F.lit(False))
 
 
 def verdict(cfg: ContextConfig, cut_rules: Sequence[tuple[ContextRule, list[int]]]) -> Column:

@@ -89,3 +89,25 @@ def test_sift_patterns_let_every_match_through():
     assert deid.sift_pattern(r"(?<![\.0-9])(07\d{2})\Z", 0) == r"(?:(07\d{2})\z)"
     assert deid.sift_pattern(r"a$", 0) is None and deid.sift_pattern(r"(a)\1", 0) is None
     assert deid.sift_pattern(r"a$", re.MULTILINE) == r"(?m:a$)"
+
+
+def test_closure_levels_send_nothing_through_the_driver(spark, monkeypatch):
+    """No join of a level broadcasts, and one setting for all roots needs no join with the roots."""
+    from noteweave.operators import ontology
+    plans = []
+    kind = type(spark.range(1))
+    own = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda df, *a, **k: (plans.append(plan(df)), own(df, *a, **k))[1])
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "d")], "cui1 string, cui2 string")
+    got = ontology.narrower_closure(edges, edges.select(edges.cui1.alias("root")), depth=2, prune=["d"]).collect()
+    assert sorted((r.root, r.cui, r.depth) for r in got) == [(x, y, k) for x, ys in (("a", "abc"), ("b", "bca"), ("c", "cab")) for y, k in sorted(zip(ys, range(3)))]
+    levels = [p for p in plans if "LeftAnti" in p]
+    assert len(levels) == 2 and not any("Broadcast" in p for p in levels)
+    assert all(p.count("SortMergeJoin") == 2 for p in levels)
+
+
+def test_ascii_and_other_texts_match_alike(spark):
+    from noteweave.operators.context import matches
+    df = spark.createDataFrame([("No evidence of x",), ("no evidence  of \u00e9",), ("", ), (None,), ("K\u0131ss no",)], "t string")
+    got = [r[0] for r in df.select(matches(F.col("t"), [r"^.*\bno\s+evidence.*$", r"k\wss"], False)).collect()]
+    assert got == [True, True, False, None, True]
