@@ -10,8 +10,8 @@ language is read off the text's function words, never off a column; the logit is
 by the language's threshold, so that 0.5 is the decision for every text.
 
 The network learns from all labelled texts: it starts on a sample in the driver (PER_CLASS of each
-class), and if there are more, goes on from there over all of them, dealt to tasks by their ids; the
-tasks' networks are averaged.  The thresholds come from all calibration rows, counted by language,
+class), and if there are more, goes on from there over all of them in parts, dealt to tasks by their ids;
+the parts' networks are averaged, first in their task, so at most TASKS networks are shuffled.  The thresholds come from all calibration rows, counted by language,
 label and place of the logit.
 
 For scoring, embeddings and filters are multiplied once into a table of filter responses
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import annotate, arrow_rows, fold, labelled_ids, labelled_sample, labelled_texts, ship
+from .common import annotate, arrow_rows, fold, labelled_ids, labelled_sample, labelled_texts, release, ship
 
 U64 = np.uint64
 BUCKETS, DIM = 1 << 16, 12
@@ -36,6 +36,8 @@ WIDTHS, FILTERS = (1, 2, 3), 8
 #: Labelled documents of each class with which training starts, at most; the others follow in parts of PART documents.
 PER_CLASS = 2500
 PART = 1500
+#: Tasks that train and documents of an Arrow batch, at most; a network has about 3 MB, whatever it learnt from.
+TASKS, ROWS = 32, 500
 #: Places of a logit told apart when thresholds are chosen, by unit; and the largest place.
 PLACES, FAR = 64, 1 << 13
 #: Numbers of a network that travel together when networks are averaged.
@@ -276,8 +278,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", mod: int
     state = net.fit([t for t, k in zip(texts, kept) if not k], y[~kept], even[~kept])
     if more:
         every = labelled_texts(docs, labelled_ids(labels, label_col, mod, id_col), -(-sum(sizes.values()) // PART), id_col, text_col)
-        with arrow_rows(docs.sparkSession, 1000):
+        with arrow_rows(docs.sparkSession, ROWS):
             _go_on(every.filter(~_calibrates()) if kept.any() else every, net, state, sizes)
+            release(docs.sparkSession)
             _calibrate(every.filter(_calibrates()) if kept.any() else every, net)
         return net
     own = kept if kept.any() else ~kept
@@ -296,31 +299,43 @@ def _calibrates():
     return F.pmod(F.xxhash64(F.lit("calibration"), F.col("id")), F.lit(1000)) < int(1000 * CALIBRATION_SHARE)
 
 
-def _go_on(rows: DataFrame, net: Cnn, state: tuple, sizes: dict[int, int]) -> None:
-    """One pass over all rows: each task goes on from the network it is given; the tasks' networks are averaged by their rows.
-
-    Averages are made by slices of the network, so that one network reaches the driver, however many tasks there are.
-    """
-    spark = rows.sparkSession
-    ship(spark)
-    sent = spark.sparkContext.broadcast((net, state))
-    even = [sum(sizes.values()) / (2 * sizes[k]) for k in (0, 1)]
+def _networks(rows: DataFrame, sent, even: list[float]) -> DataFrame:
+    """(slice, n, v) of each task's network: the mean, by their rows, of the networks of its parts of PART documents, each
+    gone on from the network that is ``sent``."""
 
     def learn(batches):
-        own, (squares, embedding_squares) = sent.value
-        model, rng, n = Cnn(), np.random.default_rng(0), 0
-        model.take(own.flat())
-        squares, embedding_squares = [s.copy() for s in squares], embedding_squares.copy()
+        own, state = sent.value
+        model, total, n, done = Cnn(), 0, 0, 0
+        rng = np.random.default_rng(0)
         for b in batches:
+            if not len(b):
+                continue
+            if n >= PART:
+                total, done, n = total + n * model.flat().astype(float), done + n, 0
+            if not n:
+                model.take(own.flat())
+                squares, embedding_squares = [x.copy() for x in state[0]], state[1].copy()
             y = b.column("y").to_numpy().astype(float)
             model.epoch([x.encode() for x in b.column("text").to_pylist()], y, np.where(y > 0, even[1], even[0]), squares, embedding_squares, rng)
             n += len(y)
         if n:
-            values = model.flat()
+            values = ((total + n * model.flat().astype(float)) / (done + n)).astype(np.float32)
             cuts = range(0, len(values), SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array([at // SLICE for at in cuts], pa.int32()), pa.array([n] * len(cuts), pa.int64()),
+            yield pa.RecordBatch.from_arrays([pa.array([at // SLICE for at in cuts], pa.int32()), pa.array([done + n] * len(cuts), pa.int64()),
                                               pa.array([values[at: at + SLICE].tobytes() for at in cuts], pa.binary())], ["slice", "n", "v"])
 
+    return rows.coalesce(TASKS).mapInArrow(learn, "slice int, n long, v binary")
+
+
+def _go_on(rows: DataFrame, net: Cnn, state: tuple, sizes: dict[int, int]) -> None:
+    """One pass over all rows: each part goes on from the network it is given; the parts' networks are averaged by their rows.
+
+    Averages are made by slices of the network, so that one network reaches the driver, however many tasks there are.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast((net, state))
+
     def average(batches):
         sums: dict[int, np.ndarray] = {}
         counts: dict[int, int] = {}
@@ -332,10 +347,10 @@ def _go_on(rows: DataFrame, net: Cnn, state: tuple, sizes: dict[int, int]) -> No
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(counts.values()), pa.int64()),
                                               pa.array([(sums[k] / counts[k]).astype(np.float32).tobytes() for k in sums], pa.binary())], ["slice", "n", "v"])
 
-    schema = "slice int, n long, v binary"
     # sorted by slice, so that the order of the sum, and with it the result, is that of the weights and bytes
-    parts = rows.mapInArrow(learn, schema).repartition("slice").sortWithinPartitions("slice", "n", "v")
-    got = {r["slice"]: r["v"] for r in parts.mapInArrow(average, schema).collect()}
+    even = [sum(sizes.values()) / (2 * sizes[k]) for k in (0, 1)]
+    parts = _networks(rows, sent, even).repartition("slice").sortWithinPartitions("slice", "n", "v")
+    got = {r["slice"]: r["v"] for r in parts.mapInArrow(average, "slice int, n long, v binary").collect()}
     if got:
         net.take(np.frombuffer(b"".join(got[k] for k in sorted(got)), np.float32))
     sent.unpersist()

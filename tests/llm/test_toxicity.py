@@ -75,3 +75,22 @@ def test_counted_rows_calibrate_like_single_rows():
     k = n.astype(int)
     b.calibrate(np.repeat(z, k), np.repeat(y, k), np.ones(k.sum()), np.repeat(language, k))
     assert np.array_equal(a.thresholds, b.thresholds)
+
+
+def test_networks_that_leave_tasks_are_few(spark, monkeypatch):
+    """However many parts there are, TASKS networks are shuffled, and they stand for all rows; labels are not broadcast."""
+    from noteweave.llm import common as C
+
+    monkeypatch.setattr(X, "TASKS", 2)
+    monkeypatch.setattr(X, "PART", 30)
+    docs = spark.createDataFrame([(i, f"calm vile n{i % 7}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    ids = C.labelled_ids(labels, "toxic", 5)
+    rows = C.labelled_texts(docs, ids, 20)
+    assert rows.rdd.getNumPartitions() == 20 and "BroadcastExchange" not in rows._jdf.queryExecution().toString()
+    texts, y = [b"calm", b"vile"] * 4, np.array([0.0, 1] * 4)
+    net = X.Cnn()
+    sent = spark.sparkContext.broadcast((net, net.fit(texts, y, np.ones(8))))
+    C.ship(spark)
+    got = X._networks(rows, sent, [1.0, 1.0]).toPandas()
+    assert got.groupby("slice").size().eq(2).all() and got[got["slice"] == 0]["n"].sum() == ids.count()
