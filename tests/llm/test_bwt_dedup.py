@@ -77,3 +77,26 @@ def test_merge_orders_and_parts_suffixes(length):
         common = next((c for c in range(length) if turned[i][c] != turned[i - 1][c]), length)
         assert (block[i] == block[i - 1]) == (common == length)
         assert prefix[i] == (length if common == length else common // 2 * 2)
+
+
+@pytest.mark.parametrize("length,alphabet", [(5, b"ab"), (50, b"ab"), (50, bytes(range(250)))])
+def test_four_symbols_a_round_give_the_same_intervals(length, alphabet, monkeypatch):
+    rng = np.random.default_rng(length)
+    size = length + (4000 if len(alphabet) > 2 else 20)  # many symbols: too many different fours for 16 bits
+    strings = [bytes(rng.choice(list(alphabet), rng.integers(length, size)).tolist()) for _ in range(60)]
+    strings += [strings[0][:length] + b"xx", strings[3]]
+    source = np.sort(rng.integers(0, 5, len(strings)))
+    sizes = np.array([len(s) for s in strings])
+    text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
+    rounds = []
+    real = np.argsort
+    monkeypatch.setattr(B.np, "argsort", lambda a, *x, **k: (rounds.append(a.dtype), real(a, *x, **k))[1])
+    two = B.merged_intervals(text, sizes, source, length)
+    n = rounds.count(np.dtype(np.uint16))
+    rounds.clear()
+    four = B.merged_intervals(text, sizes, source, length, 4)
+    if len(alphabet) == 2:
+        assert rounds.count(np.dtype(np.uint16)) < n
+    assert np.array_equal(two[1], four[1])
+    for k in np.unique(two[1])[:500]:
+        assert sorted(two[0][two[1] == k]) == sorted(four[0][four[1] == k])
