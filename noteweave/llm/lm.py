@@ -114,27 +114,33 @@ def features(word: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def rows_of(hashes: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
-    """[tokens, 5] rows of weights of a softmax: its own constant row, and the hashed features'."""
+    """[5, tokens] rows of weights of a softmax: its own constant row, and the hashed features'."""
     if group is None:
         first = np.zeros(len(hashes), np.int64)
     else:
         first = group
         hashes = K.mix(hashes + (group.astype(U64) + U64(1))[:, None])
-    return np.concatenate([first[:, None], GROUPS + (hashes % U64(ROWS - GROUPS)).astype(np.int64)], axis=1)
+    return np.concatenate([first[None], GROUPS + (hashes % U64(ROWS - GROUPS)).astype(np.int64).T])
 
 
-def log_softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = table[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z += table[rows[:, k]]
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def scores_of(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[GROUPS, tokens] sums of the rows, the largest of a token put at 0; and the logarithm of the sum of their exponentials."""
+    z = table.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += table.take(r, axis=0)
+    z = np.ascontiguousarray(z.T)  # operations along tokens are much faster than along eight numbers
+    z -= z.max(axis=0)
+    e = np.exp(z)
+    while len(e) > 1:
+        e = e[::2] + e[1::2]
+    return z, np.log(e[0])
 
 
 def class_log_probability(weights: np.ndarray, hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """``weights`` is [2, ROWS, GROUPS]: of the groups, and of the classes in a group."""
     group, member, at = kind // GROUPS, kind % GROUPS, np.arange(len(kind))
-    return log_softmax(weights[0], rows_of(hashes))[at, group] + log_softmax(weights[1], rows_of(hashes, group))[at, member]
+    (z, total), (inner, inner_total) = scores_of(weights[0], rows_of(hashes)), scores_of(weights[1], rows_of(hashes, group))
+    return (z[group, at] - total) + (inner[member, at] - inner_total)
 
 
 class Learner:
@@ -148,14 +154,15 @@ class Learner:
     def learn(self, hashes: np.ndarray, kind: np.ndarray) -> None:
         group, member = kind // GROUPS, kind % GROUPS
         for n, (rows, target) in enumerate(((rows_of(hashes), group), (rows_of(hashes, group), member))):
-            g = np.exp(log_softmax(self.weights[n], rows))
-            g[np.arange(len(target)), target] -= 1
-            place = rows[:, :, None] * GROUPS + np.arange(GROUPS)
-            step = np.bincount(place.ravel(), np.broadcast_to(g[:, None, :], place.shape).ravel(), ROWS * GROUPS)
-            step = (step / np.sqrt(len(target))).astype(np.float32).reshape(ROWS, GROUPS)
+            z, total = scores_of(self.weights[n], rows)
+            g = np.exp(z - total)
+            g[target, np.arange(len(target))] -= 1
+            used = rows.T.ravel()
+            step = np.stack([np.bincount(used, np.repeat(x, len(rows)), ROWS) for x in g], axis=1)
+            step = (step / np.sqrt(len(target))).astype(np.float32)
             self.squares[n] += step * step
             self.weights[n] -= np.float32(RATE) * step / np.sqrt(self.squares[n])
-            self.uses[n] += np.bincount(rows.ravel(), minlength=ROWS)
+            self.uses[n] += np.bincount(used, minlength=ROWS)
 
 
 def token_stream(rows: pa.RecordBatch, vocabulary: Vocabulary, keep: np.ndarray | None = None):
@@ -236,6 +243,16 @@ def counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def inverse(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the place of each key in them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return keys[new], at
+
+
 def small(n: np.ndarray) -> np.ndarray:
     return n.astype(np.min_scalar_type(int(n.max(initial=0))))
 
@@ -373,18 +390,19 @@ def train(shards: Shards, v: Vocabulary, mod: int, folder: str) -> np.ndarray:
 
 def text_scores(rows: pa.RecordBatch, answers: dict, pair_answers: dict, v: Vocabulary, weights: np.ndarray, parts: int, mod: int):
     """(n_tokens, n_known, base score, score) of each text."""
-    data, ends = K.texts(rows.column("text"))
-    asked = np.unique(np.concatenate([np.zeros(0, U64), *(Tokens(p, e).word for _, _, p, e in K.pieces(data, ends))]))
-    part = (((asked >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
-    totals = np.concatenate([answers[p][0] for p in np.unique(part).tolist()]).astype(np.int64) if len(asked) else np.zeros(0, np.int64)
-    met, _ = pair_counts(rows, v, mod)
-    seen = np.concatenate([np.zeros(0, np.int64), *(pair_answers[p][0].astype(np.int64) for p in np.unique(by_partition(met, parts)).tolist())])
-    size = len(ends)
+    pieces = list(token_stream(rows, v))  # a shard's texts are split into words once
+    asked, word_at = inverse(np.concatenate([np.zeros(0, U64), *(x[2].word for x in pieces)]))
+    totals = np.concatenate([np.zeros(0, np.int64), *(answers[p][0] for p in np.unique(by_partition(asked, parts)).tolist())]).astype(np.int64)[word_at]
+    pairs = [pair_keys(word, place, kind) for _, _, _, _, _, place, kind, word in pieces]
+    met, met_at = inverse(np.concatenate([np.zeros(0, U64), *(k for _, pair, context in pairs for k in (pair, context))]))
+    seen = np.concatenate([np.zeros(0, np.int64), *(pair_answers[p][0].astype(np.int64) for p in np.unique(by_partition(met, parts)).tolist())])[met_at]
+    size, words_done, met_done = len(rows), 0, 0
     n_tokens, n_known, base, score = (np.zeros(size, t) for t in (np.int64, np.int64, float, float))
     unit = np.log10(v.tokens + 0.1 * (v.distinct + 1))
-    for i, j, t, source, text, place, kind, word in token_stream(rows, v):
+    for (i, j, t, source, text, place, kind, word), (some, pair, context) in zip(pieces, pairs):
         c = np.full(len(source), v.texts)
-        c[source >= 0] = totals[np.searchsorted(asked, t.word)]
+        c[source >= 0] = totals[words_done: words_done + len(t.word)]
+        words_done += len(t.word)
         own = np.arange(i, j)
         n_tokens[own] = np.bincount(text, minlength=j - i)
         n_known[own] = np.bincount(text, c > 0, j - i).astype(np.int64)
@@ -393,8 +411,9 @@ def text_scores(rows: pa.RecordBatch, answers: dict, pair_answers: dict, v: Voca
         single = (kind < FREQUENT) | (kind == END_CLASS)
         mass = np.where(c > 0, c - v.discount[kind], v.discount[kind] * v.class_words[kind])
         inside = np.where(single | (v.class_tokens[kind] == 0), 1.0, mass / np.maximum(v.class_tokens[kind], 1))
-        some, pair, context = pair_keys(word, place, kind)
-        inside[some] = inside_class(inside[some], seen[np.searchsorted(met, pair)], seen[np.searchsorted(met, context)])
+        n = len(some)
+        inside[some] = inside_class(inside[some], seen[met_done: met_done + n], seen[met_done + n: met_done + 2 * n])
+        met_done += 2 * n
         total = np.log10(inside)
         at = features(word, place)
         for k in range(0, len(at), STEP):

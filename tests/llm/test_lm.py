@@ -109,3 +109,22 @@ def test_shares_after_a_word_sum_to_one():
     rng = np.random.default_rng(0)
     share, pair = rng.dirichlet(np.ones(30)), rng.integers(0, 4, 30)
     assert np.isclose(L.inside_class(share, pair, pair.sum()).sum(), 1) and np.allclose(L.inside_class(share, 0, 0), share)
+
+
+def test_a_text_is_split_once_when_scored(monkeypatch):
+    """Words, pairs and classes of a scored shard come from one pass over its texts; keys keep their totals."""
+    import pyarrow as pa
+
+    texts = ["the cat sat on the mat " * 3, "", "a dog sat", "the the cat"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    v = vocabulary(texts)[0]
+    words = {p: L.unpack(next(L.count_answer([m]))) for p, m in L.count_message(rows, 2, 10)}
+    pairs = {p: L.unpack(next(L.pair_answer([m]))) for p, m in L.pair_message(rows, v, 2, 10)}
+    split = []
+    real = L.Tokens
+    monkeypatch.setattr(L, "Tokens", lambda data, ends: (split.append(len(ends)), real(data, ends))[1])
+    n_tokens, n_known, _, score = L.text_scores(rows, words, pairs, v, L.first_weights(v), 2, 10)
+    assert split == [4] and n_tokens.tolist() == [19, 1, 4, 4] and (n_known <= n_tokens).all() and np.isfinite(score).all()
+    keys = np.array([7, 3, 7, 9], np.uint64)
+    u, at = L.inverse(keys)
+    assert u.tolist() == [3, 7, 9] and at.tolist() == [1, 0, 1, 2] and [len(x) for x in L.inverse(keys[:0])] == [0, 0]
