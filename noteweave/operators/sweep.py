@@ -123,6 +123,24 @@ def covered(view: DataFrame) -> DataFrame:
     holds it keeps another: if it is in more groups than keep it.  Both numbers are sums, so bins give their
     parts: of each group its longest member in the bin, and of each annotation the groups that reach it.
     """
+    parts = _parts(view)
+    groups = parts.where("reach = 0").groupBy("doc_id", "idx").agg(
+        F.max(F.struct(F.col("b_len").alias("len"), F.col("b_s").alias("s"), F.col("b_idx").alias("idx"))).alias("other"),
+        F.max(F.struct("len", "s", "idx")).alias("own"))
+    groups = groups.select("doc_id", "idx", F.greatest("own", "other")["idx"].alias("keeps"))
+    marks = (parts.where("reach > 0").select("doc_id", "idx", F.col("reach").alias("n"))
+             .unionByName(groups.select("doc_id", "idx", F.lit(1).cast("long").alias("n")))
+             .unionByName(groups.select("doc_id", F.col("keeps").alias("idx"), F.lit(-1).cast("long").alias("n"))))
+    gone = marks.groupBy("doc_id", "idx").agg(F.sum("n").alias("n")).where("n > 0")
+    return gone.select("doc_id", F.col("idx").cast(view.schema["idx"].dataType).alias("idx"))
+
+
+def _parts(view: DataFrame) -> DataFrame:
+    """The bins' parts of both sums: groups (``reach`` 0) with a longest member, and annotations with the groups that reach them.
+
+    In a bin that no annotation enters or leaves (and that has no idx twice) both sums are whole, so it gives
+    only the annotations that go, with their difference as ``reach``; few rows are grouped again.
+    """
     a = view.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")).where(F.col("s").isNotNull() & F.col("e").isNotNull())
     rows = a.withColumn("bin", F.explode(F.sequence(bin_of("s"), bin_of(F.greatest(F.col("e") - 1, F.col("s"))))))
 
@@ -140,24 +158,26 @@ def covered(view: DataFrame) -> DataFrame:
         rank = np.empty(len(m), np.int64)
         by = np.lexsort((idx[m], s[m], e[m] - s[m]))
         rank[by] = np.arange(len(m))
-        best = m[by[_largest(rank, lo[some], hi[some])]] if len(some) else some
+        top = _largest(rank, lo[some], hi[some]) if len(some) else some
         reach = np.zeros(len(m) + 1, np.int64)
         np.add.at(reach, lo[some], 1)
         np.add.at(reach, hi[some], -1)
         reach = np.cumsum(reach[:-1])
+        # bins whose sums are whole
+        whole = np.ones(int(group[-1]) + 1 if len(group) else 0, bool)
+        whole[group[~home | (e > (own_bin + 1) * BIN)]] = False
+        twice = np.lexsort((idx, group))
+        twice = twice[1:][(group[twice][1:] == group[twice][:-1]) & (idx[twice][1:] == idx[twice][:-1])]
+        whole[group[twice]] = False
+        own = whole[group[some]]
+        at = order[some[own]] - 1  # among the home rows
+        reach[at] += 1
+        reach -= np.bincount(by[np.maximum(rank[at], top[own])], minlength=len(m))
+        some, best = some[~own], m[by[top[~own]]]
         held = np.flatnonzero(reach)
         rows = np.r_[some, m[held]]
         none = np.zeros(len(held), np.int64)
         cols = [np.r_[np.zeros(len(some), np.int64), reach[held]], idx[rows], s[rows], e[rows] - s[rows], np.r_[idx[best], none], np.r_[s[best], none], np.r_[(e - s)[best], none]]
         return pa.table([t["doc_id"].take(pa.array(rows)), *map(pa.array, cols)], names=["doc_id", "reach", "idx", "s", "len", "b_idx", "b_s", "b_len"])
 
-    parts = _whole_bins(rows, ["s", "idx"], "reach long, idx long, s long, len long, b_idx long, b_s long, b_len long", work)
-    groups = parts.where("reach = 0").groupBy("doc_id", "idx").agg(
-        F.max(F.struct(F.col("b_len").alias("len"), F.col("b_s").alias("s"), F.col("b_idx").alias("idx"))).alias("other"),
-        F.max(F.struct("len", "s", "idx")).alias("own"))
-    groups = groups.select("doc_id", "idx", F.greatest("own", "other")["idx"].alias("keeps"))
-    marks = (parts.where("reach > 0").select("doc_id", "idx", F.col("reach").alias("n"))
-             .unionByName(groups.select("doc_id", "idx", F.lit(1).cast("long").alias("n")))
-             .unionByName(groups.select("doc_id", F.col("keeps").alias("idx"), F.lit(-1).cast("long").alias("n"))))
-    gone = marks.groupBy("doc_id", "idx").agg(F.sum("n").alias("n")).where("n > 0")
-    return gone.select("doc_id", F.col("idx").cast(view.schema["idx"].dataType).alias("idx"))
+    return _whole_bins(rows, ["s", "idx"], "reach long, idx long, s long, len long, b_idx long, b_s long, b_len long", work)

@@ -61,3 +61,17 @@ def test_one_dense_document_is_linear(spark):
     m = sweep.sentence_of(df.selectExpr("doc_id", "idx as ann_no", "s as start_pos", "e as end_pos"),
                           spark.range(100).selectExpr("1L as doc_id", "cast(id as int) as sent_no", "cast(id * 40 as int) as start_pos", "cast(id * 40 + 39 as int) as end_pos")).count()
     assert m == 200_000 and n > 190_000 and time.time() - t < 60
+
+
+def test_bins_that_nothing_crosses_give_only_what_goes(spark):
+    """Groups leave the sweep only from bins that an annotation enters or leaves; a bin with an idx twice is summed as before."""
+    rnd = random.Random(11)
+    rows = [(d, i + 1, s, s + rnd.choice([0, 1, 5, 30, -2])) for d in range(20) for i in range(30) for s in [rnd.randrange(200)]]
+    df = spark.createDataFrame(rows, "doc_id long, idx int, s int, e int").repartition(4)
+    parts = sweep._parts(df).collect()
+    assert all(r.reach > 0 for r in parts) and {(r.doc_id, r.idx) for r in parts} == brute_removed(rows)
+    far = [(d, i + 31, 4090 + 2 * i, 4095 + 3 * i) for d in range(20) for i in range(5)]
+    both = df.unionByName(spark.createDataFrame(rows[:0] + far, df.schema))
+    assert {tuple(r) for r in sweep.covered(both).collect()} == brute_removed(rows + far)
+    again = spark.createDataFrame([(1, 1, 0, 9), (1, 1, 2, 5), (1, 2, 3, 30)], df.schema)
+    assert sweep._parts(again).where("reach = 0").count() == 2
