@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noteweave.functions.partitioning import dense_rank_within
 from noteweave.operators import deid, exchange
+from noteweave.operators import sections as S
 from noteweave.functions.rules import SENSITIVE_FIELDS, WORKING_FIELDS
 from noteweave.plans import q_jobs
 from noteweave.plans.q_deid import RULES
@@ -111,3 +112,12 @@ def test_ascii_and_other_texts_match_alike(spark):
     df = spark.createDataFrame([("No evidence of x",), ("no evidence  of \u00e9",), ("", ), (None,), ("K\u0131ss no",)], "t string")
     got = [r[0] for r in df.select(matches(F.col("t"), [r"^.*\bno\s+evidence.*$", r"k\wss"], False)).collect()]
     assert got == [True, True, False, None, True]
+
+
+def test_sections_by_the_lazy_pattern(spark):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(["[[", "]]", "[", "]", "a", "\n", "b c", "[[T]]", "é"]) for _ in range(rnd.randrange(30))) for _ in range(300)] + ["[[A]]" + "[x" * 50_000, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in S.split_sections(df).collect())
+    lazy = re.compile(r"(?s)\[\[([^\]]+)\]\](.*?)(?=\[\[[^\]]+\]\]|\Z)")
+    assert got == sorted((d, i, m.group(1), m.group(2)) for d, t in enumerate(texts) for i, m in enumerate(lazy.finditer(t), 1))
