@@ -121,3 +121,21 @@ def test_sections_by_the_lazy_pattern(spark):
     got = sorted(tuple(r) for r in S.split_sections(df).collect())
     lazy = re.compile(r"(?s)\[\[([^\]]+)\]\](.*?)(?=\[\[[^\]]+\]\]|\Z)")
     assert got == sorted((d, i, m.group(1), m.group(2)) for d, t in enumerate(texts) for i, m in enumerate(lazy.finditer(t), 1))
+
+
+def test_a_weaker_match_that_is_no_match_hides_none():
+    """Where the form without look-around matches elsewhere or farther, the rule goes on alone from there."""
+    rules = ((0, r"(?<!x)(\d{3})", 0, ("number",), "t"), (1, r"(a+(?!b))", 0, ("name",), "t"), (2, r"\b(\w*)\b", 0, ("name",), "t"), (3, r"((?:ab|a)(?!c))", 0, ("name",), "t"))
+    compiled = deid._compiled(rules)
+    assert [r[10] is not None for r in compiled] == [True, True, False, True]
+    rnd = random.Random(11)
+    texts = ["x123456", "aab", "", "abc ab"] + ["".join(rnd.choice("xab1 2c") for _ in range(rnd.randint(1, 25))) for _ in range(500)]
+    calls = []
+    own, deid._confirmed = deid._confirmed, lambda *a: calls.append(a) or own(*a)
+    try:
+        for t, (_, found) in zip(texts, deid._each_found(pa.array(texts), compiled)):
+            got = [(k, m.span(), m.groups()) for k, matches, _ in found for m in matches]
+            assert got == [(r[0], m.span(), m.groups()) for r in compiled for m in r[1].finditer(t)], t
+    finally:
+        deid._confirmed = own
+    assert len(calls) > 500 and {a[0].pattern for a in calls} == {rules[k][1] for k in (0, 1, 3)}
