@@ -9,6 +9,9 @@ step's figures are differences of two worths.  Only counts by (part, bits) go in
 Copies share their text and so the first four bits; whether a row is the first of its copies is settled on
 rows counted by (text digest, part, labels), so a text that a third of all rows hold is a handful of rows
 before it is shuffled by its digest.
+
+Labels and digests grow with the corpus, so they are joined by sorting at every size: the estimate by which Spark
+broadcasts a table through the driver does not count the copies that are made of the labels.
 """
 
 from __future__ import annotations
@@ -55,11 +58,11 @@ def failure_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     nameless = rows.filter(F.col("id").isNull()).groupBy("part", "bits").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("toxic"))
     named = rows.filter(F.col("id").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
     marks = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    named = named.join(marks, ["id", "salt"], "left").fillna(0, ["good", "toxic"])
+    named = named.join(marks.hint("merge"), ["id", "salt"], "left").fillna(0, ["good", "toxic"])
     same = named.groupBy("digest", "part", "bits", "good", "toxic").agg(F.sum("n").alias("n"), F.min("id").alias("low"), F.min_by("n", "id").alias("n_low"))
     same = stored(same, folder, "same")
     lowest = same.groupBy("digest").agg(F.min("low").alias("lowest"))
-    same = same.join(lowest, "digest")
+    same = same.join(lowest.hint("merge"), "digest")
     firsts = F.when(F.col("low") == F.col("lowest"), F.col("n_low")).otherwise(F.lit(0))
     split = F.explode(F.array(F.struct(F.col("bits"), firsts.alias("n")), F.struct((F.col("bits") + 16).alias("bits"), (F.col("n") - firsts).alias("n"))))
     split = same.select("part", "good", "toxic", split.alias("s")).select("part", "s.bits", F.col("s.n").alias("n"), (F.col("good") * F.col("s.n")).alias("good"), (F.col("toxic") * F.col("s.n")).alias("toxic"))

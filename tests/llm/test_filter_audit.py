@@ -76,3 +76,19 @@ def test_potential_of_a_known_game(spark):
     p = A.potentials(A.worths(counts)).select(F.col("potential")).first()[0]
     shapley = [(p[31] - p[31 - (1 << k)]) / 120 for k in range(5)]
     assert shapley == [10 + 3 + 1, 3 + 1, 1, 1, 1]
+
+
+def test_labels_and_digests_are_broadcast_at_no_size(spark, monkeypatch):
+    """Each label comes in SALTS copies, which Spark's estimate for a broadcast does not count."""
+    plans, stored = [], A.stored
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, *args)
+
+    monkeypatch.setattr(A, "stored", seen)
+    docs = spark.createDataFrame([(i, f"text {i}", "web", "", 0) for i in range(20)], DOCS)
+    out = A.failure_counts(docs, spark.createDataFrame([(3, 1, 0, "")], LABELS))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) == 2 and not any("Broadcast" in p for p in plans)
+    assert sum(r.n for r in out.collect()) == 20 and sum(r.good for r in out.collect()) == 1
