@@ -139,3 +139,22 @@ def test_a_weaker_match_that_is_no_match_hides_none():
     finally:
         deid._confirmed = own
     assert len(calls) > 500 and {a[0].pattern for a in calls} == {rules[k][1] for k in (0, 1, 3)}
+
+
+def test_header_values_by_column():
+    """As ``_joined`` gives them row by row, also of slices, null rows and repeated fields."""
+    rows = [[("a", "1"), ("b", "2")], None, [], [("a", "x"), ("b", "y"), ("a", "z")], [("c", "é")]]
+    kind = pa.list_(pa.struct([("field", pa.string()), ("value", pa.string())]))
+    pairs = pa.array([r and [{"field": f, "value": v} for f, v in r] for r in rows], kind)
+    want = [deid._joined(r or ()) for r in pairs.to_pylist()]
+    assert deid._header_values(pairs) == want == [["1", "2"], [], [], ["x z", "y"], ["é"]]
+    assert deid._header_values(pairs.slice(2, 2)) == want[2:4] and deid._header_values(pairs.slice(0, 0)) == []
+
+
+def test_masks_and_folds_of_many_texts_at_once():
+    from noteweave.operators import literals as L
+    for part in ("".join(map(chr, range(128))), "Dr. Smith\n12", "é   x", "", "a\x1cb"):
+        assert L._crossed(part) == re.sub(r"\S", "x", part)
+    for texts in (["A", "", "bC"], ["A\0B", "C"], ["ſ", "K", "É"], [], [""]):
+        assert L._folds(texts) == [L.fold(x) for x in texts]
+    assert L.scrubbed("nothing here", [("Smith", True), ("qq", False)]) == ([], "nothing here")
